@@ -176,6 +176,25 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     return rows.mapInArrow(run, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
 
 
+def keep_recognised(docs: DataFrame, model: Model, text: str = "text", least: float = 0.2) -> DataFrame:
+    """The rows of `docs` whose language is recognised with a score of `least` or more, all columns as they are.
+
+    Null, empty and letterless texts are not recognised. One pass, without a shuffle.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            for lo in range(0, len(texts), ROWS):
+                lang, score = shared.value.predict(texts[lo : lo + ROWS])
+                keep = [x != UNKNOWN and p >= least for x, p in zip(lang, score)]
+                yield batch.slice(lo, len(keep)).filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def sample(docs: DataFrame, key: str = "doc_id", lang: str = "lang", text: str = "text", limit: int = MAX_SAMPLE) -> DataFrame:
     """(lang, text) of at most `limit` documents with a language and outside the held-out quarter, by hash of their id."""
     able = docs.filter(F.col(lang).isNotNull() & (crc_mod(F.col(key), 4) != 2))

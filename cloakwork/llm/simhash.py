@@ -187,6 +187,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     return done.select(F.col("key").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
+    """The rows of `docs` that are the smallest key of their component, all columns as they are.
+
+    Rows with equal key and text count as one. Rows with a null key stay only where no row of their component has a key.
+    """
+    marked = near_duplicates(docs, key, text, words)
+    stay = marked.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_stay")).distinct()
+    rows = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(text, F.lit(""))))
+    kept = rows.join(stay, F.col(key).eqNullSafe(F.col("_stay")), "left_semi")
+    return kept.dropDuplicates([key, "_text_hash"]).select(*docs.columns)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint and the smallest doc_id of its component."""
     return near_duplicates(table(spark, sf_dir, "documents"))
