@@ -103,7 +103,8 @@ def findings(paragraphs: DataFrame, lex: Lexicon | None = None, mask_judicial: b
     rows = rows.withColumn("_hits", merge_fragments(F.col(text), F.col("_hits")))
     rows = rows.withColumn("_hits", arbitrate(F.col("_hits")))
     rest = [c for c in paragraphs.columns if c != text]
-    out = rows.select(*rest, F.explode("_hits").alias("h"))
+    # explode_outer: for explode, Spark infers a filter on the array's size, which computes the whole array once more
+    out = rows.select(*rest, F.explode_outer("_hits").alias("h")).filter(F.col("h").isNotNull())
     if not mask_judicial:
         out = out.filter(~F.col("h.judicial"))
     out = out.withColumn("status", status_of(F.col("h.confidence"))).filter(F.col("status").isNotNull())

@@ -35,7 +35,7 @@ def number_findings(paragraphs: DataFrame, rules: tuple[str, ...] = ("bank_card"
     passed over by one cheap test."""
     rows = paragraphs.filter(F.col("text").rlike("[0-9]{9}|@"))
     hits = numbered(F.concat(*[rule_hits(F.col("text"), r) for r in rules]))
-    rows = rows.withColumn("_hits", hits).select("file", "doc_seq", "big", "para_index", F.explode(arbitrate(F.col("_hits"))).alias("h"))
+    rows = rows.withColumn("_hits", hits).select("file", "doc_seq", "big", "para_index", F.explode_outer(arbitrate(F.col("_hits"))).alias("h")).filter(F.col("h").isNotNull())
     return rows.select("file", "doc_seq", "big", "para_index", "h.start", "h.end", F.col("h.text").alias("original"), "h.category", "h.confidence", "h.source", status_of(F.col("h.confidence")).alias("status"))
 
 
