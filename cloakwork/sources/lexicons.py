@@ -26,6 +26,6 @@ def load_terms(spark: SparkSession, path: str) -> list[str]:
 
 def load_gold(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """(sample_id, text, label) of JSON lines, the first `limit` of the file if given."""
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("sample_id", "value"))
+    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n+\z", ""), "\n")).alias("sample_id", "value"))
     whole = whole.filter(F.col("sample_id") < limit) if limit is not None else whole
     return parse_gold(whole).drop("value")
