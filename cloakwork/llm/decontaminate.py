@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cloakwork.llm.common import split_by_bytes, table
 
@@ -192,6 +193,7 @@ def contaminated_regions(docs: DataFrame, benchmark: DataFrame, key: str = "doc_
     Of places of one item that overlap the one with the fewest edits stays. Null and empty texts and items have none.
     Repeated rows and items are each reported; null keys are kept; an empty table on either side gives no rows.
     """
+    item_type = to_arrow_type(benchmark.schema[item].dataType)
     kind, item_kind = (t.schema[c].dataType.simpleString() for t, c in ((docs, key), (benchmark, item)))
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").cast("binary").alias("text"))
     parts = []
@@ -206,7 +208,7 @@ def contaminated_regions(docs: DataFrame, benchmark: DataFrame, key: str = "doc_
                 if found:
                     row, it, start, end, edits = map(list, zip(*found))
                     chars = [[_code_points(texts[r], x) for r, x in zip(row, at)] for at in (start, end)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(it), *(pa.array(c, kinds) for c in (*chars, edits))], names=["key", "item", "start", "end", "edits"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(it, item_type), *(pa.array(c, kinds) for c in (*chars, edits))], names=["key", "item", "start", "end", "edits"])
 
         parts.append(rows.mapInArrow(run, f"key {kind}, item {item_kind}, start long, end long, edits long"))
     out = parts[0]
