@@ -21,7 +21,7 @@ from cloakwork.llm.textgrams import is_letter, mix, points
 BUCKETS = 1 << 12
 #: The most documents that the machines are fitted on, chosen by a hash of their id.
 MAX_SAMPLE = 6_000
-ROWS, CHUNK = 256, 2 << 20
+ROWS, CHUNK = 128, 1 << 18
 UNKNOWN = "und"
 #: Families of languages by ISO 639-1 code; a language that is not here is a family of its own.
 FAMILIES = {

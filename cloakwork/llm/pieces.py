@@ -25,7 +25,7 @@ from cloakwork.llm.common import split_by_bytes, table
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
 #: Bounds of a worker's table of encoded words, after which it starts anew; and of the text encoded at once.
-MAX_WORDS, MAX_IDS, CHUNK = 600_000, 8_000_000, 4 << 20
+MAX_WORDS, MAX_IDS, CHUNK = 200_000, 3_000_000, 1 << 19
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 
 
