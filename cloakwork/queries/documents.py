@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from cloakwork.functions.matching import find_all
@@ -11,7 +12,7 @@ from cloakwork.plans import scan
 from cloakwork.queries import mappings as M
 from cloakwork.queries import synth as S
 from cloakwork.queries.synth import K, Registry, customers, load, txt
-from cloakwork.sources import files, lexicons
+from cloakwork.sources import docx, files, lexicons
 
 _R = Registry()
 
@@ -48,6 +49,33 @@ def _masked_lines(spark, sf_dir):
 _R.add("flagship_lines", lambda s, d: flagship(s, d).groupBy("file").agg(F.count("*").alias("n_lines"), F.sum(F.length("redacted")).alias("n_chars"), F.sum(F.length("redacted") - F.length(F.replace("redacted", F.lit("*"), F.lit("")))).alias("n_stars")), None)
 
 # --- sources ---
+def _docx(spark, sf_dir):
+    """Files made from customers, then read, rewritten and read again."""
+
+    @F.pandas_udf("binary")
+    def build(runs: pd.Series) -> pd.Series:
+        return runs.map(lambda r: docx.build([list(r), ["第二段"], []]))
+
+    rows = customers(spark, sf_dir, path=f"concat('/in/c', {txt(K)}, '.docx')", runs=f"array('原告', {S.SURNAME}, concat({S.GIVEN}, '，手机'), {S.PHONE})", name=S.NAME, phone=S.PHONE)
+    pairs = F.array(F.struct(F.col("phone").alias("original"), F.lit("***").alias("alias")), F.struct(F.col("name").alias("original"), F.lit("甲某").alias("alias")))
+    return rows.select("path", build("runs").alias("content"), pairs.alias("pairs"))
+
+
+_R.add("s4_docx_read", lambda s, d: docx.read(_docx(s, d)).select("path", "para_index", F.array_join("runs", "|").alias("runs"), "text"), f"""
+SELECT concat('/in/c', {txt(K)}, '.docx') AS path, 0 AS para_index, concat('原告|', {S.SURNAME}, '|', {S.GIVEN}, '，手机|', {S.PHONE}) AS runs, concat('原告', {S.NAME}, '，手机', {S.PHONE}) AS text FROM customer
+UNION ALL SELECT concat('/in/c', {txt(K)}, '.docx'), 1, '第二段', '第二段' FROM customer""")
+
+
+def _docx_written(s, d):
+    made = _docx(s, d)
+    done = docx.write(made, made)
+    return docx.read(done).join(done.select(F.col("path").alias("_p"), "n_replaced"), F.col("path") == F.col("_p")).select("path", "para_index", F.array_join("runs", "|").alias("runs"), "n_replaced")
+
+
+_R.add("d12_docx_write", _docx_written, f"""
+SELECT concat('/in/c', {txt(K)}, '.docx') AS path, 0 AS para_index, '原告|甲某|，手机|***' AS runs, CAST(2 AS BIGINT) AS n_replaced FROM customer
+UNION ALL SELECT concat('/in/c', {txt(K)}, '.docx'), 1, '第二段', 2 FROM customer""")
+_R.add("s1_expand", lambda s, d: files.expand(s, [f"{d}/region.parquet", f"{d}/nation.parquet", f"{d}/none.parquet"]).select(queue.base_name(F.col("path")).alias("name"), "length"), None)
 _PATH = f"concat('/in/d', {txt(f'{K} % 3')}, '/c', {txt(f'{K} % 50')}, CASE CAST({K} % 4 AS INT) WHEN 0 THEN '.docx' WHEN 1 THEN '.PDF' WHEN 2 THEN '.txt' ELSE '.pdf' END)"
 
 

@@ -114,7 +114,7 @@ def _hit(start: str, end: str, category: str, confidence: float, source: str, ju
 
 
 def _hits(spark, sf_dir, *hits: str):
-    rows = customers(spark, sf_dir, text=f"repeat('深圳市福田区莲花街道办事处', 8)")
+    rows = customers(spark, sf_dir, text="repeat('深圳市福田区莲花街道办事处', 8)")
     return rows.withColumn("hits", numbered(F.expr(f"array({', '.join(hits)})").cast(f"array<{HIT}>")))
 
 
@@ -145,8 +145,6 @@ SELECT {K}, CASE WHEN {K} % 3 = 2 THEN 6 ELSE CAST(5 + {K} % 3 AS INT) END AS st
        CASE WHEN {K} % 3 = 2 THEN 'person' ELSE 'phone' END AS category FROM customer
 UNION ALL SELECT {K}, 30, 48, 'id_number' FROM customer""")
 
-_JUDGED = f"concat('审判长：', {S.NAME}, '\\n')"
-
 
 def _a3(spark, sf_dir):
     rows = customers(spark, sf_dir, text=f"CASE WHEN {K} % 2 = 0 THEN concat('审判长：', {S.NAME}, '。') ELSE concat('原告：', {S.NAME}, '，') END")

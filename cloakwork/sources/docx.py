@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import posixpath
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -35,6 +36,26 @@ def paragraphs(content: bytes) -> list[list[str]]:
     return out
 
 
+def build(runs: list[list[str]]) -> bytes:
+    """A docx file with just these paragraphs of runs."""
+    space = "{http://www.w3.org/XML/1998/namespace}space"
+    root = ElementTree.Element(f"{_W}document")
+    body = ElementTree.SubElement(root, f"{_W}body")
+    for paragraph in runs:
+        p = ElementTree.SubElement(body, f"{_W}p")
+        for text in paragraph:
+            t = ElementTree.SubElement(ElementTree.SubElement(p, f"{_W}r"), f"{_W}t", {space: "preserve"})
+            t.text = text
+    kind = "application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"
+    types = ElementTree.Element(f"{_TYPES}Types")
+    ElementTree.SubElement(types, f"{_TYPES}Override", {"PartName": "/word/document.xml", "ContentType": kind})
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr("[Content_Types].xml", ElementTree.tostring(types, "UTF-8", xml_declaration=True))
+        archive.writestr("word/document.xml", ElementTree.tostring(root, "UTF-8", xml_declaration=True))
+    return out.getvalue()
+
+
 def read(files: DataFrame) -> DataFrame:
     """(path, para_index, runs, text, error): paragraphs that are not empty; a bad file is one row with its error."""
 
@@ -61,7 +82,8 @@ def replace(content: bytes, pairs: list[tuple[str, str]]) -> tuple[bytes, int]:
             raw = src.read(item)
             if item.filename in parts:
                 for _, (prefix, uri) in ElementTree.iterparse(io.BytesIO(raw), ["start-ns"]):
-                    ElementTree.register_namespace(prefix, uri)
+                    if not re.fullmatch(r"ns\d+", prefix):  # the library makes such prefixes itself
+                        ElementTree.register_namespace(prefix, uri)
                 root = ElementTree.fromstring(raw)
                 count += sum(_replace_in(p, pairs) for p in root.iter(f"{_W}p"))
                 raw = ElementTree.tostring(root, "UTF-8", xml_declaration=True)
