@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cloakwork.llm.common import table
+from cloakwork.llm.common import cut, table
 from cloakwork.llm.pieces import chunked, codec, model_path
 
 BLOCK = 1024
@@ -41,6 +41,7 @@ def length_histogram(lengths: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """
     g = [f"g{i}" for i in range(len(by))]
     rows = lengths.toDF(*g, "n").groupBy(*g, "n").agg(F.count("*").alias("docs")).withColumn("block", F.floor(F.col("n") / BLOCK))
+    rows = cut(rows)  # used twice; texts are encoded once
     blocks = rows.groupBy(*g, "block").agg(F.sum("docs").alias("bd"), F.sum(F.col("docs") * F.col("n")).alias("bt"))
     whole = Window.partitionBy(*g)
     later = whole.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
