@@ -15,7 +15,7 @@ Keys that meet are joined and the pair is verified on all 64 bits. No pair withi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -35,27 +35,36 @@ GENERATOR = 0b101011100011
 _PIECE = 1 << 18
 
 
-def fingerprint(text: bytes, words: int = 4) -> bytes:
-    """Eight bytes, the highest bit first; zeros for a text without words. Any length of text, in bounded memory."""
+def shingle_hashes(text: bytes, words: int = 4) -> Iterator[np.ndarray]:
+    """XXH64 digests (rows of eight bytes) of the word shingles, in pieces of bounded size. None without words."""
     tokens = text.lower().split()  # on bytes: A-Z and the six ASCII spaces only
-    if not tokens:
-        return bytes(8)
-    size = max(1, len(tokens) - words + 1)
-    ones = np.zeros(64, np.int64)
+    size = max(1, len(tokens) - words + 1) if tokens else 0
     digest = xxhash.xxh64_digest
     for lo in range(0, size, _PIECE):
-        part = tokens[lo : lo + min(_PIECE, size - lo) + words - 1]
         n = min(_PIECE, size - lo)
+        part = tokens[lo : lo + n + words - 1]
         line = b" ".join(part)
         ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))
         last = ends[min(words, len(part)) - 1 :][:n]
         raw = b"".join([digest(line[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist())])
-        bits = np.unpackbits(np.frombuffer(raw, np.uint8)).reshape(n, 64)
-        ones += bits.sum(axis=0, dtype=np.int64)
+        yield np.frombuffer(raw, np.uint8).reshape(n, 8)
+
+
+def majority(pieces: Iterable[np.ndarray]) -> bytes:
+    """Eight bytes, the highest bit first: the bits set in over half of the digests; zeros for none."""
+    ones, size = np.zeros(64, np.int64), 0
+    for digests in pieces:
+        ones += np.unpackbits(digests, axis=1).sum(axis=0, dtype=np.int64)
+        size += len(digests)
     return np.packbits(2 * ones > size).tobytes()
 
 
+def fingerprint(text: bytes, words: int = 4) -> bytes:
+    """The majority of a text's shingles; zeros for a text without words. Any length of text, in bounded memory."""
+    return majority(shingle_hashes(text, words))
+
+
 def with_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
     """(key, fp): one row per document, fp a signed 64-bit integer with the fingerprint's bits. Null text: zero."""
 
@@ -187,18 +196,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     return done.select(F.col("key").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
-    """The rows of `docs` that are the smallest key of their component, all columns as they are.
+def smallest_of_each(docs: DataFrame, marked: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of `docs` that are the smallest key of their component in `marked` (key, component_id), as they are.
 
     Rows with equal key and text count as one. Rows with a null key stay only where no row of their component has a key.
     """
-    marked = near_duplicates(docs, key, text, words)
     stay = marked.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_stay")).distinct()
     rows = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(text, F.lit(""))))
     kept = rows.join(stay, F.col(key).eqNullSafe(F.col("_stay")), "left_semi")
     return kept.dropDuplicates([key, "_text_hash"]).select(*docs.columns)
 
 
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
+    """The rows of `docs` that are the smallest key of their component of near_duplicates; see smallest_of_each."""
+    return smallest_of_each(docs, near_duplicates(docs, key, text, words), key, text)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint and the smallest doc_id of its component."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cloakwork.llm import chat_format, decontaminate, iblt, language, line_dedup, pieces, simhash, token_counts, toxicity, url_filter
+from cloakwork.llm import chat_format, decontaminate, iblt, language, line_dedup, pieces, similar, simhash, token_counts, toxicity, url_filter
 from cloakwork.llm.common import look_up
 from conftest import DATA
 
@@ -417,3 +417,52 @@ def test_pipeline_stages(spark):
     assert sizes[0] == sizes[1] == table.count() and sizes[2] < sizes[1] and sizes[3] < sizes[2] and sizes[4] == sizes[3]
     final = {r.doc_id for r in corpus_pipeline.run(spark, DATA).collect()}
     assert final == {r.doc_id for r in rows.collect()}
+def test_similar_documents(spark, empty):
+    rng = random.Random(11)
+    rows = []
+    for _ in range(60):
+        base = make_text(rng, rng.choice((30, 120, 400))).split()
+        for _ in range(rng.randint(1, 8)):
+            copy = [rng.choice(WORDS) + "x" if rng.random() < rng.choice((0.0, 0.005, 0.02, 0.05)) else w for w in base]
+            rows.append((len(rows) + 1, " ".join(copy)))
+    rows += [(900, None), (901, ""), (902, " \t")]
+
+    def shingles(t):
+        w = (t or "").split()
+        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = {i: shingles(t) for i, t in rows}
+    fps = {i: int.from_bytes(simhash.fingerprint((t or "").encode(), 5), "big") for i, t in rows}
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    by_sets = 0
+    for i in root:
+        for j in root:
+            if i < j:
+                close = (fps[i] ^ fps[j]).bit_count() <= 4
+                alike = 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+                by_sets += alike and not close
+                if close or alike:
+                    a, b = sorted((find(i), find(j)))
+                    root[b] = a
+    assert by_sets > 30
+    got = {r.doc_id: r.component_id for r in similar.similar_documents(docs(spark, rows)).collect()}
+    assert got == {i: find(i) for i in root}
+    kept = similar.one_of_each_similar(docs(spark, rows))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({find(i) for i in root}) and kept.columns == docs(spark, []).columns
+    assert similar.similar_documents(empty).count() == 0 and similar.one_of_each_similar(empty).count() == 0
+    assert similar.similar_documents(docs(spark, EDGES)).count() == len(EDGES)
+
+
+def test_similar_across_components(spark):
+    """A bucket with several components lists each pair from outside the largest one, and no other."""
+    rows = [(7, s, r) for s, r in [(1, 1), (2, 1), (3, 1), (4, 4), (5, 5)]] + [(8, 1, 1), (8, 2, 1), (9, 4, 4)]
+    got = {tuple(r) for r in similar._across(spark.createDataFrame(rows, "k long, s long, root long")).collect()}
+    assert got == {(1, 4), (2, 4), (3, 4), (1, 5), (2, 5), (3, 5), (4, 5)}
+
+
