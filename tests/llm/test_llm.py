@@ -417,6 +417,8 @@ def test_pipeline_stages(spark):
     assert sizes[0] == sizes[1] == table.count() and sizes[2] < sizes[1] and sizes[3] < sizes[2] and sizes[4] == sizes[3]
     final = {r.doc_id for r in corpus_pipeline.run(spark, DATA).collect()}
     assert final == {r.doc_id for r in rows.collect()}
+
+
 def test_similar_documents(spark, empty):
     rng = random.Random(11)
     rows = []
@@ -460,9 +462,21 @@ def test_similar_documents(spark, empty):
 
 
 def test_similar_across_components(spark):
-    """A bucket with several components lists each pair from outside the largest one, and no other."""
-    rows = [(7, s, r) for s, r in [(1, 1), (2, 1), (3, 1), (4, 4), (5, 5)]] + [(8, 1, 1), (8, 2, 1), (9, 4, 4)]
-    got = {tuple(r) for r in similar._across(spark.createDataFrame(rows, "k long, s long, root long")).collect()}
-    assert got == {(1, 4), (2, 4), (3, 4), (1, 5), (2, 5), (3, 5), (4, 5)}
-
-
+    """Every pair of similar sets in different components is listed, and none of the many that share a passage only."""
+    rng, sets = random.Random(5), []
+    for group in range(12):
+        base = rng.sample(range(group * 1000, group * 1000 + 1000), rng.choice((1, 3, 9, 40)))
+        for _ in range(6):
+            kept = [x for x in base if rng.random() > rng.choice((0.0, 0.05, 0.15))] or base
+            sets.append({*kept, *(rng.randrange(10**6, 10**9) for _ in range(rng.choice((0, 0, 1, 4))))})
+    sets = [set(x) for x in {frozenset(s) for s in sets}]
+    passage = range(10**10, 10**10 + 30)
+    alone = len(sets)
+    sets += [{*passage, *(rng.randrange(10**11, 10**12) for _ in range(10))} for _ in range(60)]
+    held = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "s long, hashes array<long>")
+    root = {i: i - i % 2 for i in range(len(sets))}
+    known = spark.createDataFrame([(i, root[i], len(s)) for i, s in enumerate(sets)], "s long, root long, n long")
+    got = {tuple(r) for r in similar._across(similar._prefixes(held, known, 0.8), 0.8).collect()}
+    pairs = {(i, j) for j in range(len(sets)) for i in range(j) if root[i] != root[j]}
+    alike = {(i, j) for i, j in pairs if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    assert alike and alike <= got <= pairs and not [p for p in got if p[1] >= alone]
