@@ -475,8 +475,8 @@ def test_similar_across_components(spark):
     sets += [{*passage, *(rng.randrange(10**11, 10**12) for _ in range(10))} for _ in range(60)]
     held = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "s long, hashes array<long>")
     root = {i: i - i % 2 for i in range(len(sets))}
-    known = spark.createDataFrame([(i, root[i], len(s)) for i, s in enumerate(sets)], "s long, root long, n long")
-    got = {tuple(r) for r in similar._across(similar._prefixes(held, known, 0.8), 0.8).collect()}
+    known = spark.createDataFrame([(i, root[i], i, len(s)) for i, s in enumerate(sets)], "s long, root long, fp long, n long")
+    got = {(r.u, r.v) for r in similar._across(similar._prefixes(held, known, 0.8), 0.8).collect()}
     pairs = {(i, j) for j in range(len(sets)) for i in range(j) if root[i] != root[j]}
     alike = {(i, j) for i, j in pairs if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
     assert alike and alike <= got <= pairs and not [p for p in got if p[1] >= alone]
