@@ -461,6 +461,30 @@ def test_similar_documents(spark, empty):
     assert similar.similar_documents(docs(spark, EDGES)).count() == len(EDGES)
 
 
+def test_similar_texts_with_one_set_and_several_fingerprints(spark):
+    """A line repeated 2, 3 and 40 times: one set of shingles, several fingerprints, a row and a component for each."""
+    rng, rows, several, linked = random.Random(12), [], 0, 0
+    for group in range(30):
+        line = [f"{w}{group}" for w in rng.sample(WORDS, 9)]
+        first = 10 * group + 1
+        rows += [(first + k, " ".join(line * n)) for k, n in enumerate((2, 3, 40))]
+        prints = [int.from_bytes(simhash.fingerprint(t.encode(), 5), "big") for _, t in rows[-3:]]
+        several += len(set(prints)) > 1
+        # A text with other words at the end, within four bits of some of the fingerprints and not similar by its set.
+        for n in (2, 3, 40):
+            for extra in range(3, 9):
+                other = " ".join(line * n + [f"z{group}{x}" for x in range(extra)])
+                bits = [(int.from_bytes(simhash.fingerprint(other.encode(), 5), "big") ^ p).bit_count() for p in prints]
+                if min(bits) <= 4 < max(bits) and rows[-1][0] < first + 3:
+                    rows.append((first + 3, other))
+                    linked += 1
+    assert several > 20 and linked > 3
+    table = docs(spark, rows)
+    got = sorted((r.doc_id, r.component_id) for r in similar.similar_documents(table).collect())
+    assert got == [(i, i - (i - 1) % 10) for i, _ in rows]
+    assert sorted(r.doc_id for r in similar.one_of_each_similar(table).collect()) == [10 * g + 1 for g in range(30)]
+
+
 def test_similar_across_components(spark):
     """Every pair of similar sets in different components is listed, and none of the many that share a passage only."""
     rng, sets = random.Random(5), []
