@@ -2,9 +2,10 @@
 
 An item of m bytes that occurs in a text with k edits or fewer shares at least T = m - q + 1 - k q of its q-grams with
 the place, on k + 1 neighbouring diagonals (text position less item position). Diagonals are counted in overlapping
-bands of twice a power of two above k, each shifted by half against the next, so one band holds them all. Bands with T
-shared q-grams or more are retained and aligned with the item, row by row for many bands at once, in the band widened by
-k on both sides. Nothing within the budget is missed.
+bands of twice a power of two above k, each shifted by half against the next, so one band holds them all. Bands in which
+one text has T shared q-grams or more are retained and aligned with the item, row by row for many bands at once, in the
+band widened by k on both sides. An alignment sees the bytes of its text alone, whatever texts lie beside it. Nothing
+within the budget is missed.
 
 Case of ASCII letters and the kind of white space don't matter; other bytes count as they are. Edits are of UTF-8 bytes.
 """
@@ -107,30 +108,34 @@ class Index:
             return out
         entry = np.repeat(self.first[gram] - (stop - n), n) + np.arange(stop[-1])
         item = self.item[entry]
+        group = item * len(cut) + np.repeat(np.searchsorted(ends, at, side="right"), n)  # item and text
         diagonal = np.repeat(at, n) - self.place[entry] + self.reach
         half = self.half[item]
         width = 4 * len(text) + 8 * self.reach
         bands = []
         for shift in (0, 1):
-            key = item * width + 2 * ((diagonal + shift * half) // (2 * half)) + shift
+            key = group * width + 2 * ((diagonal + shift * half) // (2 * half)) + shift
             slot = _slot(key.view(np.uint64), _SLOTS)
             enough = np.bincount(slot, minlength=1 << _SLOTS)[slot] >= self.least[item]  # no band with enough is lost
             key, counts = np.unique(key[enough], return_counts=True)
-            bands.append(key[counts >= self.least[key // width]])
+            bands.append(key[counts >= self.least[key // width // len(cut)]])
         band = np.concatenate(bands)
-        item, number = band // width, band % width
+        group, number = band // width, band % width
+        item, owner = group // len(cut), group % len(cut)
         low = (number // 2) * 2 * self.half[item] - (number % 2) * self.half[item] - self.reach
         if len(band):
-            out += self._align(np.frombuffer(text, np.uint8), ends, cut, item, low)
+            out += self._align(np.frombuffer(text, np.uint8), ends, cut, item, owner, low)
         return out
 
-    def _align(self, text: np.ndarray, ends: np.ndarray, cut: list[tuple[int, int, bytes]], item: np.ndarray, low: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    def _align(self, text: np.ndarray, ends: np.ndarray, cut: list[tuple[int, int, bytes]], item: np.ndarray, owner: np.ndarray, low: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         out = []
         order = np.lexsort((low, self.m[item]))
         pad = 8 * self.reach
         text = np.concatenate((np.full(pad, 255, np.uint8), text, np.full(pad, 255, np.uint8)))
+        last = ends - Q  # where the separator behind each text begins
+        first = last - np.array([len(x) for _, _, x in cut])
         for part in np.array_split(order, -(-len(order) // 256)):
-            it, lo = item[part], low[part]
+            it, own, lo = item[part], owner[part], low[part]
             span = int((2 * self.half[it] + 2 * self.k[it]).max())
             m = int(self.m[it].max())
             letters = np.full((len(it), m), 254, np.uint8)
@@ -138,13 +143,14 @@ class Index:
                 letters[c, : self.m[i]] = np.frombuffer(self.texts[i], np.uint8)
             start = lo - self.k[it]
             base = (start + pad)[:, None] + np.arange(span)[None, :]
+            before, behind = (first[own] + pad - 1)[:, None], (last[own] + pad)[:, None]  # separators, which match nothing
             kind, cost = (np.int32, 1 << 16) if m + span < 1 << 14 else (np.int64, 1 << 32)
             offset = np.arange(span, dtype=kind)
             state = np.broadcast_to(offset, (len(it), span)).copy()  # edits * cost + diagonal of the first byte
             final = np.full((len(it), span), np.iinfo(kind).max, kind)
             live, size, budget = np.arange(len(it)), self.m[it], self.k[it]
             for row in range(m):
-                step = state + np.multiply(text[base + row] != letters[live, row, None], cost, dtype=kind)
+                step = state + np.multiply(text[np.clip(base + row, before, behind)] != letters[live, row, None], cost, dtype=kind)
                 np.minimum(step[:, :-1], state[:, 1:] + cost, out=step[:, :-1])
                 step -= offset * cost
                 state = np.minimum.accumulate(step, axis=1)
@@ -154,7 +160,7 @@ class Index:
                     final[live[over]] = state[over]
                 if row % _LOOK == _LOOK - 1 or over.any():
                     keep = ~over & (state.min(axis=1) // cost <= budget[live])  # edits never become fewer
-                    live, state, base = live[keep], state[keep], base[keep]
+                    live, state, base, before, behind = (x[keep] for x in (live, state, base, before, behind))
                     if not len(live):
                         break
             best = np.argmin(final, axis=1)
@@ -162,14 +168,10 @@ class Index:
             edits, begin = value // cost, start + value % cost
             end = start + best + self.m[it]
             good = edits <= self.k[it]
-            for i, e, s, t in zip(it[good].tolist(), edits[good].tolist(), begin[good].tolist(), end[good].tolist()):
-                p = int(np.searchsorted(ends, max(s, 0), side="right"))
-                if p < len(cut):
-                    r, base0, piece = cut[p]
-                    off = int(ends[p]) - len(piece) - Q
-                    s, t = max(s - off, 0), min(t - off, len(piece))
-                    if t > s:
-                        out.append((r, self.ids[i], base0 + s, base0 + t, e))
+            for i, p, e, s, t in zip(*(x[good].tolist() for x in (it, own, edits, begin, end))):
+                r, base0, piece = cut[p]
+                off = int(first[p])
+                out.append((r, self.ids[i], base0 + max(s - off, 0), base0 + min(t - off, len(piece)), e))
         return out
 
 

@@ -91,6 +91,26 @@ def test_decontamination_in_pieces(monkeypatch):
     assert [(f[1], f[2], f[3], f[4]) for f in index.regions([text])] == [(7, 900, 959, 0)]
 
 
+def test_decontamination_does_not_depend_on_the_texts_beside():
+    """Items without their first or last bytes, at both ends of texts of one batch, and an item parted by two texts."""
+    rng = random.Random(4)
+    items = [make_text(rng, n).encode() for n in (12, 30, 60)]
+    index = decontaminate.Index(list(enumerate(t.decode() for t in items)))
+    fold = lambda t: t.translate(decontaminate._FOLD)
+    texts = [make_text(rng, 6).encode()]
+    for i, item in enumerate(items):
+        k = int(index.k[i])
+        for j in {0, 1, k // 2, k, k + 1}:
+            texts += [item[j:] + b" and more", b"more and " + item[: len(item) - j], item[j:]]
+            texts += [b"other words " + item[: k + 4], item[k + 4 :] + b" other words", b""]
+    rows = index.regions(texts)
+    assert rows == [(r, *f[1:]) for r, t in enumerate(texts) for f in index.regions([t])]
+    got = {(f[0], f[1]): f[4] for f in rows}
+    want = {(r, i): edits_within(fold(item), fold(t)) for r, t in enumerate(texts) for i, item in enumerate(items)}
+    assert got == {x: e for x, e in want.items() if e <= index.k[x[1]]}
+    assert all(0 <= s < e <= len(texts[r]) for r, _, s, e, _ in rows)
+
+
 # --- 2 ---
 def test_sketch_recovers_the_difference():
     rng = random.Random(2)
