@@ -256,6 +256,21 @@ def test_language_edges(spark, empty):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "1", "5", "6", "7", "None"]
 
 
+def test_documents_in_unlearnt_languages_go(spark):
+    """German without labels, Cyrillic, Chinese and letters at random are not recognised; all that was learnt stays."""
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    table = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", F.when(F.col("lang") != "de", F.col("lang")).alias("lang"))
+    junk = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(60)) for _ in range(20)]
+    junk += ["Все люди рождаются свободными и равными в своем достоинстве и правах. " * 3, "人人生而自由，在尊严和权利上一律平等。" * 9]
+    rows = table.union(spark.createDataFrame([(10**6 + i, t, None) for i, t in enumerate(junk)], table.schema)).cache()
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, rows, DATA).collect()}
+    known, unknown = ({r.doc_id for r in rows.filter(F.col("lang").isNotNull() == x).collect()} for x in (True, False))
+    assert known <= kept and not any(i >= 10**6 for i in kept)
+    assert len(unknown) > 40 and len(kept & unknown) < len(unknown) / 10
+
+
 # --- 6 ---
 def brute_components(rows, words=4, most=4):
     fps = []
