@@ -12,15 +12,16 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cloakwork.llm.common import crc_mod, split_by_bytes, table
 from cloakwork.llm.textgrams import is_letter, mix, points
 
 BUCKETS = 1 << 12
-#: The most documents that the machines are fitted on, chosen by a hash of their id.
-MAX_SAMPLE = 6_000
+#: The most documents of all languages that the machines are fitted on, chosen by a hash of their id, and those of each
+#: language that are added where these hold fewer of it.
+MAX_SAMPLE, EACH = 6_000, 200
 #: A text is recognised from this part of the score on that all but a hundredth of held-out documents reach; the most of these.
 SHARE, MAX_HELD = 0.65, 2_000
 ROWS, CHUNK = 128, 1 << 18
@@ -210,10 +211,16 @@ def least_score(docs: DataFrame, model: Model, key: str = "doc_id", lang: str =
     return SHARE * (right.agg(F.percentile("score", F.lit(0.01))).first()[0] or 0.0)
 
 
-def sample(docs: DataFrame, key: str = "doc_id", lang: str = "lang", text: str = "text", limit: int = MAX_SAMPLE) -> DataFrame:
-    """(lang, text) of at most `limit` documents with a language and outside the held-out quarter, by hash of their id."""
+def sample(docs: DataFrame, key: str = "doc_id", lang: str = "lang", text: str = "text", limit: int = MAX_SAMPLE, each: int = EACH) -> DataFrame:
+    """(lang, text) of documents with a language and outside the held-out quarter, by hash of their id.
+
+    The least `limit` hashes of all, and the least `each` of every language, so that a rare one is learnt at any size.
+    """
     able = docs.filter(F.col(lang).isNotNull() & (crc_mod(F.col(key), 4) != 2))
-    some = able.select(F.col(key).alias("k")).distinct().orderBy(F.xxhash64("k"), "k").limit(limit)
+    first = able.select(F.col(key).alias("k")).distinct().orderBy(F.xxhash64("k"), "k").limit(limit)
+    place = F.dense_rank().over(Window.partitionBy("l").orderBy("h", "k"))  # only `each` of a language leave a task
+    rare = able.select(F.col(lang).alias("l"), F.col(key).alias("k"), F.xxhash64(F.col(key)).alias("h")).withColumn("place", place).filter(F.col("place") <= each)
+    some = first.union(rare.select("k")).distinct()
     rows = able.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     return rows.join(F.broadcast(some), F.col("key") == F.col("k"), "left_semi").select("lang", "text")
 

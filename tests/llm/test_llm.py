@@ -256,6 +256,15 @@ def test_language_edges(spark, empty):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "1", "5", "6", "7", "None"]
 
 
+def test_rare_languages_are_sampled(spark):
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2]
+    table = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
+    order = [r.doc_id for r in table.orderBy(F.xxhash64("doc_id")).collect()]
+    lang = F.when(F.col("doc_id").isin(order[-3:]), "fi").otherwise("en")
+    got = Counter(r.lang for r in language.sample(table.withColumn("lang", lang), limit=20).collect())
+    assert got == {"en": 200, "fi": 3}
+
+
 def test_documents_in_unlearnt_languages_go(spark):
     """German without labels, Cyrillic, Chinese and letters at random are not recognised; all that was learnt stays."""
     import corpus_pipeline
