@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import cache
+from sys import maxunicode
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,15 +18,29 @@ def _sum(parts: list[Column]) -> Column:
     return total
 
 
+@cache
+def _digits() -> tuple[str, str]:
+    """All decimal digits of other scripts than ASCII, and what they are."""
+    others = [chr(c) for c in range(128, maxunicode + 1) if chr(c).isdecimal()]
+    return "".join(others), "".join(str(int(c)) for c in others)
+
+
+def ascii_digits(s: Column) -> Column:
+    """Decimal digits of any script, full-width ones too, as ASCII digits; other characters as they are."""
+    return F.when(s.rlike(r"(?U)[\d&&[^0-9]]"), F.translate(s, *_digits())).otherwise(s)
+
+
 def valid_id_number(s: Column) -> Column:
-    """18 places; weighted digits modulo 11 give the last one, whatever its case."""
+    """18 places; weighted digits, of any script, modulo 11 give the last one, whatever its case."""
+    s = ascii_digits(s)
     digits = [F.substr(s, F.lit(i + 1), F.lit(1)).try_cast("int") * w for i, w in enumerate(ID_WEIGHTS)]
     check = F.substr(F.lit(ID_CHECKS), F.pmod(_sum(digits), F.lit(11)) + 1, F.lit(1))
     return (F.length(s) == 18) & F.coalesce(check == F.upper(F.substr(s, F.lit(18), F.lit(1))), F.lit(False))
 
 
 def valid_luhn(s: Column) -> Column:
-    """Every second digit from the right doubled, nines cast out, the sum a multiple of ten."""
+    """Every second digit, of any script, from the right doubled, nines cast out, the sum a multiple of ten."""
+    s = ascii_digits(s)
 
     def value(d: Column, i: Column) -> Column:
         n = d.cast("int") * F.when(i % 2 == 1, 2).otherwise(1)

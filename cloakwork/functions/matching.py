@@ -9,28 +9,28 @@ HIT = "struct<start:int,end:int,text:string,category:string,confidence:double,so
 SPAN = "array<struct<start:int,end:int,text:string>>"
 
 
-def find_all(text: Column, pattern: str, group: int = 0, at: str = "whole") -> Column:
-    """Array of (start, end, text) of all non-overlapping matches from the left.
+#: Noncharacters: MARK is put around values; one that a text has is taken for SPARE, which no pattern tells from it.
+MARK, SPARE = "\ufdd0", "\ufdd1"
 
-    The pieces between matches give the positions. at tells where the group lies in a match: it is the whole of it, its
-    head or its tail.
+
+def find_all(text: Column, value: str, before: str = "", after: str = "", need: str = "") -> Column:
+    """Array of (start, end, text) of the values of all non-overlapping matches from the left; none for a null text.
+
+    A match is `before`, `value` and `after`, none of them with groups of their own. One pass of the pattern marks the
+    values, and the lengths of the pieces between the marks give the positions. Only texts in which `need` is found are
+    searched.
     """
-    rx = F.lit("(?Ud)" + pattern)
-    whole = F.regexp_extract_all(text, rx, F.lit(0))
-    part = F.regexp_extract_all(text, rx, F.lit(group)) if group else whole
-    zipped = F.arrays_zip(whole.alias("m"), part.alias("v"), F.split(text, "(?Ud)" + pattern, -1).alias("gap"))
-    zipped = zipped.cast("array<struct<m:string,v:string,gap:string>>")
+    marked = F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(SPARE)), F.lit(f"(?Ud)({before})({value})({after})"), F.lit(f"$1{MARK}$2{MARK}$3"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["pos"] + F.length(x["gap"])
-        start = begin + F.length(x["m"]) - F.length(x["v"]) if at == "tail" else begin
-        hit = F.struct(start.alias("start"), (start + F.length(x["v"])).alias("end"), x["v"].alias("text"))
-        found = F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(hit)))
-        return F.struct(F.coalesce(begin + F.length(x["m"]), begin).cast("int").alias("pos"), found.cast(SPAN).alias("out"))
+    def step(acc: Column, piece: Column) -> Column:
+        end = acc["pos"] + F.length(piece)
+        hit = F.struct(acc["pos"].alias("start"), end.alias("end"), F.substr(text, acc["pos"] + 1, F.length(piece)).alias("text"))
+        found = F.when(acc["inside"], F.concat(acc["out"], F.array(hit))).otherwise(acc["out"])
+        return F.struct(end.alias("pos"), (~acc["inside"]).alias("inside"), found.cast(SPAN).alias("out"))
 
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN).alias("out"))
-    # one compiled search decides first: most texts hold no match, and the others pay little more
-    return F.when(F.rlike(text, rx), F.aggregate(zipped, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+    zero = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("inside"), F.array().cast(SPAN).alias("out"))
+    spans = F.aggregate(F.split(marked, MARK, -1), zero, step, lambda acc: acc["out"])
+    return F.when(F.rlike(text, F.lit("(?Ud)" + need)) if need else text.isNotNull(), spans).otherwise(F.array().cast(SPAN))
 
 
 def as_hits(spans: Column, category: str, confidence: float, source: str, judicial: bool = False) -> Column:
@@ -49,12 +49,13 @@ def alternation(words: list[str]) -> str:
     return "|".join(rf"\Q{w}\E" for w in sorted(words, key=lambda w: -len(w)))
 
 
-def strip_prefixes(value: Column, prefixes: list[str], passes: int = 24) -> Column:
+def strip_prefixes(value: Column, prefixes: list[str]) -> Column:
     """Passes over the prefixes in their order, each taken off wherever it leads and something stays, until none does."""
-    words = F.array(*[F.lit(p) for p in prefixes])
-    chain = F.flatten(F.array_repeat(words, passes))
+    words, leads = F.array(*[F.lit(p) for p in prefixes]), f"(?s)^(?:{alternation(list(prefixes))})."
     shorter = lambda v, p: F.when(F.startswith(v, p) & (F.length(v) > F.length(p)), F.substr(v, F.length(p) + 1)).otherwise(v)
-    return F.when(value.rlike(f"^(?:{alternation(list(prefixes))})"), F.aggregate(chain, value, shorter)).otherwise(value)
+    one = lambda v: F.when(v.rlike(leads), F.aggregate(words, v, shorter)).otherwise(v)
+    # a pass that changes something takes a character at least, so there are no more passes than characters
+    return F.when(value.rlike(leads), F.aggregate(F.sequence(F.lit(1), F.length(value)), value, lambda v, _: one(v))).otherwise(value)
 
 
 def strip_words(value: Column, words: list[str]) -> Column:
@@ -63,10 +64,13 @@ def strip_words(value: Column, words: list[str]) -> Column:
 
 
 def occurrences(text: Column, word: Column) -> Column:
-    """0-based starts of all occurrences, overlapping ones too."""
-    last = F.length(text) - F.length(word) + 1
-    every = F.when((F.length(word) > 0) & (last >= 1), F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(F.filter(every, lambda i: F.substr(text, i, F.length(word)) == word), lambda i: i - 1)
+    """0-based starts of all occurrences, overlapping ones too: the text is cut before each of them."""
+    quoted = F.concat(F.lit(r"(?=\Q"), F.replace(word, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
+    none = F.array().cast("array<int>")
+    zero = F.struct(F.lit(0).alias("pos"), F.when(F.startswith(text, word), F.array(F.lit(0))).otherwise(none).alias("out"))
+    step = lambda acc, piece: F.struct((acc["pos"] + F.length(piece)).alias("pos"), F.concat(acc["out"], F.array(acc["pos"] + F.length(piece))).alias("out"))
+    starts = F.aggregate(F.split(text, quoted, -1), zero, step, lambda acc: F.slice(acc["out"], 1, F.size(acc["out"]) - 1))
+    return F.when((F.length(word) > 0) & F.contains(text, word), starts).otherwise(none)  # the end of the text is no start
 
 
 REPLACED = "array<struct<start:int,end:int,alias:string>>"

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakwork.functions import fixed
+from cloakwork.functions.lineage import fresh
 from cloakwork.functions.matching import HIT, numbered
 from cloakwork.operators.lexicon import Lexicon, all_lexicon_hits
 from cloakwork.operators.rules import all_rule_hits
@@ -77,10 +78,10 @@ def raw_hits(text: Column, lex: Lexicon | None = None) -> Column:
     return numbered(F.concat(all_rule_hits(text), all_lexicon_hits(text, lex or Lexicon())))
 
 
-def with_provider(paragraphs: DataFrame, provider: Callable[[str], list[dict]], text: str = "text") -> DataFrame:
-    """Adds ner_hits: the hits of any callable text -> list of dicts with start, end, category, confidence.
+def provided_hits(text: str, provider: Callable[[str], list[dict]]) -> Column:
+    """Hits of any callable text -> list of dicts with start, end, category, confidence, for the text column.
 
-    The callable runs in Python workers, one Arrow batch at a time; blank texts are not passed to it.
+    The callable runs in Python workers, one Arrow batch at a time; null and blank texts are not passed to it.
     """
 
     @F.pandas_udf("array<struct<start:int,end:int,category:string,confidence:double>>")
@@ -88,24 +89,44 @@ def with_provider(paragraphs: DataFrame, provider: Callable[[str], list[dict]],
         for batch in texts:
             yield pd.Series([[] if t is None or not t.strip() else provider(t) for t in batch])
 
-    found = F.transform(run(F.col(text)), lambda h: F.struct(h["start"], h["end"], F.substr(F.col(text), h["start"] + 1, h["end"] - h["start"]), h["category"], h["confidence"], F.lit("ner"), F.lit(False), F.lit(0)))
-    return paragraphs.withColumn("ner_hits", found.cast(HITS))
-
-
-def findings(paragraphs: DataFrame, lex: Lexicon | None = None, mask_judicial: bool = False, provider: Callable[[str], list[dict]] | None = None, text: str = "text") -> DataFrame:
-    """One row per finding: the paragraph's columns but its text, and start, end, original, category, confidence, source,
-    judicial and status. Blank paragraphs have none. Judicial names are dropped last, so they still keep others out."""
-    rows = paragraphs.filter(F.col(text).isNotNull() & (F.trim(text) != ""))
-    rows = with_provider(rows, provider, text) if provider else rows
-    hits = raw_hits(F.col(text), lex)
-    hits = numbered(F.concat(hits, F.col("ner_hits"))) if provider else hits
-    rows = rows.withColumn("_hits", hits)
-    rows = rows.withColumn("_hits", merge_fragments(F.col(text), F.col("_hits")))
-    rows = rows.withColumn("_hits", arbitrate(F.col("_hits")))
-    rest = [c for c in paragraphs.columns if c != text]
+    t = F.col(text)
+    full = lambda h: F.struct(h["start"], h["end"], F.substr(t, h["start"] + 1, h["end"] - h["start"]), h["category"], h["confidence"], F.lit("ner"), F.lit(False), F.lit(0))
+    return F.transform(run(t), full).cast(HITS)
+
+
+#: What findings() adds to the columns of a paragraph.
+FOUND = ("start", "end", "original", "category", "confidence", "source", "judicial", "status")
+
+
+def findings(
+    paragraphs: DataFrame,
+    lex: Lexicon | None = None,
+    mask_judicial: bool = False,
+    provider: Callable[[str], list[dict]] | None = None,
+    text: str = "text",
+) -> DataFrame:
+    """One row per finding: the paragraph's columns but its text, and those of FOUND.
+
+    A paragraph that is null or blank has none, and an empty table gives none. Repeated rows are scanned each. Columns of
+    the input that are named as one of FOUND give way to it; any other name is allowed. Hits that begin alike are decided
+    by layer, category, length and order of emission. Judicial names are dropped last, so they still keep others out.
+    """
+    hits_, h_ = fresh("hits"), fresh("h")
+    rows = paragraphs.filter(F.col(text).rlike(r"(?U)[^\s\x1c-\x1f]"))
+    if provider:
+        ner_ = fresh("ner")
+        rows = rows.withColumn(ner_, provided_hits(text, provider))
+        rows = rows.withColumn(hits_, numbered(F.concat(raw_hits(F.col(text), lex), F.col(ner_))))
+    else:
+        rows = rows.withColumn(hits_, raw_hits(F.col(text), lex))
+    some = lambda f: F.when(F.size(hits_) > 0, f).otherwise(F.array().cast(HITS))
+    rows = rows.withColumn(hits_, some(merge_fragments(F.col(text), F.col(hits_))))
+    rows = rows.withColumn(hits_, some(arbitrate(F.col(hits_))))
+    rest = [c for c in paragraphs.columns if c != text and c not in FOUND]
     # explode_outer: for explode, Spark infers a filter on the array's size, which computes the whole array once more
-    out = rows.select(*rest, F.explode_outer("_hits").alias("h")).filter(F.col("h").isNotNull())
+    out = rows.select(*rest, F.explode_outer(hits_).alias(h_)).filter(F.col(h_).isNotNull())
+    h = F.col(h_)
     if not mask_judicial:
-        out = out.filter(~F.col("h.judicial"))
-    out = out.withColumn("status", status_of(F.col("h.confidence"))).filter(F.col("status").isNotNull())
-    return out.select(*rest, "h.start", "h.end", F.col("h.text").alias("original"), "h.category", "h.confidence", "h.source", "h.judicial", "status")
+        out = out.filter(~h["judicial"])
+    out = out.select(*rest, h["start"].alias("start"), h["end"].alias("end"), h["text"].alias("original"), *[h[c].alias(c) for c in ("category", "confidence", "source", "judicial")], status_of(h["confidence"]).alias("status"))
+    return out.filter(F.col("status").isNotNull())

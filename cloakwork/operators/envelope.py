@@ -25,16 +25,45 @@ def sha256_of(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
-def mapping_json(mapping: DataFrame, manifest: list[tuple[str, str]] = (), batch_id: str | None = None, created_at: str | None = None) -> DataFrame:
-    """One row, one column `json`: the mapping file. Items by id; pending and files are not in the format."""
-    item = F.struct("id", "category", "original", "alias", "occurrences", "enabled", "source", "confidence")
+#: The most items of a mapping file that is one row; more go into a file of lines.
+MOST_ITEMS = 1_000_000
+
+
+def _head(manifest: list[tuple[str, str]], batch_id: str | None, created_at: str | None) -> list[Column]:
     docs = F.array(*[F.struct(F.lit(f).alias("file"), F.lit(h).alias("sha256")) for f, h in manifest]).cast("array<struct<file:string,sha256:string>>")
-    return mapping.agg(F.sort_array(F.collect_list(item)).alias("mappings")).select(
-        F.to_json(F.struct(
-            F.lit(FORMAT_VERSION).alias("version"), F.lit(batch_id or str(uuid.uuid4())).alias("batch_id"),
-            F.lit(created_at or datetime.now(timezone.utc).isoformat()).alias("created_at"), docs.alias("doc_manifest"), "mappings",
-        )).alias("json")
-    )
+    made = created_at or datetime.now(timezone.utc).isoformat()
+    return [F.lit(FORMAT_VERSION).alias("version"), F.lit(batch_id or str(uuid.uuid4())).alias("batch_id"), F.lit(made).alias("created_at"), docs.alias("doc_manifest")]
+
+
+def _item() -> Column:
+    return F.struct("id", "category", "original", "alias", "occurrences", "enabled", "source", "confidence")
+
+
+def mapping_json(mapping: DataFrame, manifest: list[tuple[str, str]] = (), batch_id: str | None = None, created_at: str | None = None, most: int = MOST_ITEMS) -> DataFrame:
+    """One row, one column `json`: the mapping file. Items by id; pending and files are not in the format.
+
+    The format is one JSON text, so the items must fit in one row: more than `most` are an error, and mapping_lines is
+    the way for these. An empty mapping has no items.
+    """
+    found = mapping.limit(most + 1).count()
+    if found > most:
+        raise ValueError(f"more than {most} items: write mapping_lines instead")
+    grouped = mapping.agg(F.sort_array(F.collect_list(_item())).alias("mappings"))
+    return grouped.select(F.to_json(F.struct(*_head(manifest, batch_id, created_at), "mappings")).alias("json"))
+
+
+def mapping_lines(mapping: DataFrame, manifest: list[tuple[str, str]] = (), batch_id: str | None = None, created_at: str | None = None) -> DataFrame:
+    """(id, json): the mapping of any size as JSON lines, the head with id 0 and then one line an item; no row holds more."""
+    head = mapping.sparkSession.range(1).select(F.lit(0).cast("long").alias("id"), F.to_json(F.struct(*_head(manifest, batch_id, created_at))).alias("json"))
+    return head.unionByName(mapping.select(F.col("id").cast("long").alias("id"), F.to_json(_item()).alias("json")))
+
+
+def items_of_lines(lines: DataFrame) -> DataFrame:
+    """The items of mapping_lines; without a head, or with one of another version, it is an error."""
+    head = lines.filter("id = 0").select(F.get_json_object("json", "$.version").alias("v")).first()
+    if head is None or head.v != FORMAT_VERSION:
+        raise ValueError(f"unsupported mapping version {head.v if head else None}")
+    return lines.filter("id > 0").select(F.from_json("json", ITEM).alias("m")).select("m.*")
 
 
 def load_mapping(text: str) -> dict:
@@ -69,6 +98,11 @@ def seal(spark: SparkSession, text: str, password: str) -> dict:
     return {"enc": "AES-256-GCM", "kdf": "scrypt", "salt": b64(salt), "nonce": b64(nonce), "data": b64(row.c[12:])}
 
 
+def envelope_text(envelope: dict) -> str:
+    """The envelope as the text of a file."""
+    return json.dumps(envelope, ensure_ascii=False, indent=2)
+
+
 def unseal(spark: SparkSession, envelope: dict, password: str) -> str:
     try:
         salt, nonce, data = (base64.b64decode(envelope[k], validate=True) for k in ("salt", "nonce", "data"))

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloakwork.functions.matching import occurrences
+from cloakwork.functions.lineage import cut
+from cloakwork.operators.search import MOST, search
 
 MIN_SIZE, STEP = 6.0, 0.5
 BLANKS = r"(?U)[\s\x1c-\x1f　]"
@@ -48,25 +49,29 @@ def part_of_line(x0: Column, x1: Column, text: Column, start: Column, end: Colum
     return F.struct(F.greatest(at(start) - pad, x0).alias("x0"), F.least(at(end) + pad, x1).alias("x1"))
 
 
-def page_fragments(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+def page_fragments(lines: DataFrame, pairs: DataFrame, most: int = MOST) -> DataFrame:
     """(file, page_no, original, alias, hit, line_no, offset, x0, y0, x1, y1): boxes of all, also overlapping, matches.
 
     A page's lines are joined without blanks, so a match may go over lines; it has a box in each. offset is the place of
-    the box's first character in the match. pairs: original, alias; a user's list, joined to each page by broadcast if
-    Spark finds it small, else by nested loops over pages.
+    the box's first character in the match. pairs: original, alias and, if they are of single files, file (null: all).
+    Originals of blanks alone are nowhere; null texts are empty lines; equal originals with several aliases have all of them.
     """
-    kept = F.filter(F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda x: ~x["c"].rlike(BLANKS))
+    kept = F.filter(F.transform(F.filter(F.split(F.coalesce("text", F.lit("")), ""), lambda c: c != ""), lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda x: ~x["c"].rlike(BLANKS))
     own = lines.withColumn("chars", kept)
     own = own.select("file", "page_no", "line_no", "x0", "y0", "x1", "y1", "text", "chars", F.array_join(F.transform("chars", lambda x: x["c"]), "").alias("norm"))
     before = Window.partitionBy("file", "page_no").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     own = own.withColumn("first", F.coalesce(F.sum(F.size("chars")).over(before), F.lit(0)))
     pages = own.groupBy("file", "page_no").agg(F.sort_array(F.collect_list(F.struct("line_no", "norm"))).alias("l"))
-    pages = pages.select("file", "page_no", F.array_join(F.transform("l", lambda x: x["norm"]), "").alias("page"))
-    wanted = pairs.withColumn("needle", F.regexp_replace("original", BLANKS, "")).filter(F.col("needle") != "")
-    met = pages.join(wanted, F.contains(F.col("page"), F.col("needle")))
-    hits = met.select("file", "page_no", "original", "alias", F.length("needle").alias("n"), F.explode(occurrences(F.col("page"), F.col("needle"))).alias("hit"))
+    pages = pages.select("file", "page_no", F.array_join(F.transform("l", lambda x: x["norm"]), "").alias("text"))
+    file = F.col("file").cast("string") if "file" in pairs.columns else F.lit(None).cast("string")
+    pair = F.struct("original", "alias")
+    wanted = pairs.select(file.alias("file"), F.regexp_replace("original", BLANKS, "").alias("string"), pair.alias("pair")).distinct()
+    strings = wanted.groupBy("file", "string").agg(F.to_json(F.array_sort(F.collect_list("pair"))).alias("value")).withColumn("id", F.lit(0).cast("long"))
+    met = search(pages, cut(strings), "found", most=most).select("file", "page_no", F.explode("found").alias("f"))
+    met = met.select("file", "page_no", "f.n", "f.start", F.explode(F.from_json("f.value", "array<struct<original:string,alias:string>>")).alias("pair"))
+    hits = met.select("file", "page_no", "pair.original", "pair.alias", (-F.col("n")).alias("n"), F.col("start").alias("hit"))
     on = own.withColumnsRenamed({"file": "_f", "page_no": "_p"})
-    inside = (F.col("file") == F.col("_f")) & (F.col("page_no") == F.col("_p")) & (F.col("hit") < F.col("first") + F.size("chars")) & (F.col("hit") + F.col("n") > F.col("first"))
+    inside = F.col("file").eqNullSafe(F.col("_f")) & (F.col("page_no") == F.col("_p")) & (F.col("hit") < F.col("first") + F.size("chars")) & (F.col("hit") + F.col("n") > F.col("first"))
     parts = hits.join(on, inside)
     lo, hi = F.greatest(F.col("hit") - F.col("first"), F.lit(0)), F.least(F.col("hit") + F.col("n") - F.col("first"), F.size("chars"))
     parts = parts.withColumn("s", F.get("chars", lo.cast("int"))["i"]).withColumn("e", F.get("chars", (hi - 1).cast("int"))["i"] + 1)

@@ -52,18 +52,22 @@ def _names(text: Column, spans: Column, lex: Lexicon) -> Column:
     return F.filter(spans, lambda s: valid_name(s["text"], lex) & ~near_stopword(text, s["start"], s["end"], lex))
 
 
+def _filled(pattern: str, name: str, words: list[str]) -> str:
+    return pattern.replace(f"<{name}>", alternation(words))
+
+
 def judicial_persons(text: Column, lex: Lexicon) -> Column:
-    spans = find_all(text, fixed.JUDICIAL_PERSON.format(titles=alternation(lex.titles)), 1, "tail")
+    spans = find_all(text, fixed.NAME, _filled(fixed.JUDICIAL_LEAD, "titles", lex.titles), fixed.NAME_END, alternation(lex.titles)) if lex.titles else F.array().cast(SPAN)
     return as_hits(_names(text, spans, lex), "person", 0.85, "lexicon", True)
 
 
 def prompted_persons(text: Column, lex: Lexicon) -> Column:
-    spans = find_all(text, fixed.PROMPTED_PERSON.format(prompts=alternation(lex.prompts)), 1, "tail")
+    spans = find_all(text, fixed.NAME, _filled(fixed.PROMPTED_LEAD, "prompts", lex.prompts), fixed.NAME_END) if lex.prompts else F.array().cast(SPAN)
     return as_hits(_names(text, spans, lex), "person", 0.85, "lexicon")
 
 
 def gendered_persons(text: Column, lex: Lexicon) -> Column:
-    return as_hits(_names(text, find_all(text, fixed.GENDERED_PERSON, 1, "head"), lex), "person", 0.85, "lexicon")
+    return as_hits(_names(text, find_all(text, fixed.NAME, after=fixed.GENDER_TAIL, need="，[男女]"), lex), "person", 0.85, "lexicon")
 
 
 def persons(text: Column, lex: Lexicon) -> Column:
@@ -89,32 +93,43 @@ def _stripped(spans: Column, prefixes: list[str]) -> Column:
 
 def companies(text: Column, lex: Lexicon) -> Column:
     """Names that end like a company. Law firms are stopwords and so never found."""
-    spans = _stripped(find_all(text, fixed.COMPANY), lex.prefixes())
+    spans = _stripped(find_all(text, fixed.COMPANY, need=fixed.COMPANY_NEED), lex.prefixes())
     return as_hits(F.filter(spans, lambda s: (F.length(s["text"]) >= 4) & _no_stopword(s["text"], lex)), "company", 0.80, "lexicon")
 
 
 def addresses(text: Column, lex: Lexicon) -> Column:
     """Places with a road or building word; six characters or more without blanks."""
-    spans = _stripped(find_all(text, fixed.ADDRESS), list(fixed.ADDRESS_PREFIXES))
+    spans = _stripped(find_all(text, fixed.ADDRESS, need=fixed.ADDRESS_NEED), list(fixed.ADDRESS_PREFIXES))
     long = lambda s: F.length(F.translate(s["text"], " 　", "")) >= 6
     return as_hits(F.filter(spans, long), "address", 0.70, "lexicon")
 
 
 def region_addresses(text: Column, lex: Lexicon) -> Column:
     """Four to 25 characters behind a region's name, unless they end like an institution."""
-    spans = _stripped(find_all(text, fixed.REGION_ADDRESS.format(regions=alternation(lex.regions))), lex.prefixes())
+    if not lex.regions:
+        return as_hits(F.array().cast(SPAN), "address", 0.65, "lexicon")
+    lead = _filled(fixed.REGION_LEAD, "regions", lex.regions)
+    spans = _stripped(find_all(text, lead + fixed.REGION_PLACE, after=fixed.REGION_END), lex.prefixes())
     ends = "(?:" + "|".join(fixed.ADDRESS_BAD_SUFFIX) + r")\z"
     return as_hits(F.filter(spans, lambda s: ~s["text"].rlike(ends) & _no_stopword(s["text"], lex)), "address", 0.65, "lexicon")
 
 
 def custom_names(text: Column, lex: Lexicon) -> Column:
     """The user's own names, one after the other; confidence 0.9, so they need no confirmation."""
-    parts = [F.filter(find_all(text, rf"\Q{n}\E"), lambda s: ~near_stopword(text, s["start"], s["end"], lex)) for n in lex.custom_names]
+    parts = [F.filter(find_all(text, alternation([n])), lambda s: ~near_stopword(text, s["start"], s["end"], lex)) for n in lex.custom_names]
     return as_hits(F.concat(*parts) if parts else F.array().cast(SPAN), "person", 0.90, "custom")
 
 
+def _apart(words: list[str]) -> bool:
+    """Whether no two of the words can overlap in a text."""
+    return not any(a != b and (a in b or any(a.endswith(b[:n]) for n in range(1, len(b)))) for a in words for b in words)
+
+
 def ethnicities(text: Column, lex: Lexicon) -> Column:
-    return as_hits(find_all(text, alternation(lex.ethnicities)), "ethnicity", 0.90, "lexicon")
+    """All terms of the list, those that overlap others too. One search serves terms that can't."""
+    groups = [lex.ethnicities] if _apart(lex.ethnicities) else [[w] for w in lex.ethnicities]
+    parts = [find_all(text, alternation(g)) for g in groups if g]
+    return as_hits(F.concat(*parts) if parts else F.array().cast(SPAN), "ethnicity", 0.90, "lexicon")
 
 
 LAYERS = {
@@ -124,5 +139,8 @@ LAYERS = {
 
 
 def all_lexicon_hits(text: Column, lex: Lexicon) -> Column:
-    """Hits of the whole layer in its order of emission."""
-    return F.concat(*[f(text, lex) for f in LAYERS.values()])
+    """Hits of the whole layer in its order of emission. A text without an ideograph or a word of the lists that has none
+    is passed over by one search; a null text has no hits."""
+    plain = [w for words in (lex.titles, lex.prompts, lex.regions, lex.custom_names, lex.ethnicities) for w in words if not any("一" <= c <= "龥" for c in w)]
+    need = "|".join(["[一-龥]", *(alternation([w]) for w in plain)])
+    return F.when(text.rlike(need), F.concat(*[f(text, lex) for f in LAYERS.values()])).otherwise(F.array().cast(f"array<{HIT}>"))

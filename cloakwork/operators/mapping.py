@@ -6,20 +6,23 @@ confidence and status; the others count. Aliases are numbered by first appearanc
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cloakwork.functions.fixed import ALIAS_SUFFIX, BRANCHES, STEMS
-from cloakwork.functions.lineage import cut
+from cloakwork.functions.lineage import cut, fresh
 from cloakwork.functions.masks import alias_at, alias_suffix, is_alias_category, mask_value
 
 SCHEMA = "id long, original string, category string, alias string, occurrences long, enabled boolean, source string, confidence double, pending boolean, files array<string>"
 
 
 def ranked(rows: DataFrame, order: list[str | Column], by: list[str] | None = None, name: str = "rank", parts: int | None = None) -> DataFrame:
-    """Adds `name`: the 0-based place of each row in `order` (a total order) among those with equal `by`.
+    """Adds `name`: the 0-based place of each row in `order` (a total order) among those with equal `by`; null is a value
+    of `by`. An empty table stays empty; a column that is named so before is replaced.
 
     Rows are sorted into ranges, numbered inside each and shifted by the sizes of the ranges before: no task sees all.
     What is ranked is one row per entity or document, so writing it once costs little beside the scan that found it.
@@ -27,18 +30,19 @@ def ranked(rows: DataFrame, order: list[str | Column], by: list[str] | None = No
     by = by or []
     spark = rows.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, *[F.col(c) if isinstance(c, str) else c for c in order]).withColumn("_part", F.spark_partition_id())
-    inside = Window.partitionBy("_part", *by).orderBy(*order)
-    dealt = cut(dealt.withColumn("_at", F.row_number().over(inside) - 1))  # ranges are sampled: one reading for both uses
-    sizes = dealt.groupBy("_part", *by).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    keys = [F.col(c).alias(f"_by{i}") for i, c in enumerate(by)]
-    shift = sizes.select(F.col("_part").alias("_p"), *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    same = F.col("_part") == F.col("_p")
-    for i, c in enumerate(by):
-        same &= F.col(c).eqNullSafe(F.col(f"_by{i}"))
-    out = dealt.join(shift, same)
-    return out.withColumn(name, F.col("_at") + F.col("_shift")).select(*rows.columns, name)
+    part_, at_, n_, shift_ = (fresh(x) for x in ("part", "at", "n", "shift"))
+    dealt = rows.repartitionByRange(n, *[F.col(c) if isinstance(c, str) else c for c in order]).withColumn(part_, F.spark_partition_id())
+    inside = Window.partitionBy(part_, *by).orderBy(*order)
+    dealt = cut(dealt.withColumn(at_, F.row_number().over(inside) - 1))  # ranges are sampled: one reading for both uses
+    sizes = dealt.groupBy(part_, *by).agg(F.count("*").alias(n_))
+    before = Window.partitionBy(*by).orderBy(part_).rowsBetween(Window.unboundedPreceding, -1)
+    keys = {c: fresh("by") for c in by}
+    shift = sizes.select(F.col(part_).alias(f"{part_}b"), *[F.col(c).alias(k) for c, k in keys.items()], F.coalesce(F.sum(n_).over(before), F.lit(0)).alias(shift_))
+    same = F.col(part_) == F.col(f"{part_}b")
+    for c, k in keys.items():
+        same &= F.col(c).eqNullSafe(F.col(k))
+    out = dealt.join(shift, same).withColumn(name, F.col(at_) + F.col(shift_))
+    return out.select(*[c for c in rows.columns if c != name], name)
 
 
 def first_findings(found: DataFrame) -> DataFrame:
@@ -92,28 +96,65 @@ def index_of_alias(alias: str, suffix: str) -> int | None:
     return len(base) + 10 * (int(turn) - 2) + STEMS.index(alias[0])
 
 
+def alias_index(alias: Column) -> tuple[Column, Column]:
+    """(suffix, number) of an alias as alias_at gives it; nulls for any other text."""
+    parts = f"^([{STEMS}{BRANCHES}])({'|'.join(sorted(set(ALIAS_SUFFIX.values())))})([1-9][0-9]{{0,17}})?$"
+    get = lambda i: F.nullif(F.regexp_extract(alias, parts, i), F.lit(""))
+    stem, turn = F.position(get(1), F.lit(STEMS + BRANCHES)).cast("long") - 1, get(3).cast("long")
+    number = F.when(turn.isNull(), stem).when((turn >= 2) & (stem < len(STEMS)), len(STEMS + BRANCHES) + 10 * (turn - 2) + stem)
+    return F.when(number.isNotNull(), get(2)), number
+
+
+def free_numbers(mapping: DataFrame, suffix: str, n: int) -> list[int]:
+    """The n least numbers of a suffix that no alias of the mapping has.
+
+    Numbers are counted in blocks of at least n. The first n blocks that are not full, and the first that is empty, hold
+    what is looked for, so no more than their numbers come to the driver.
+    """
+    block = max(1024, n)
+    found, number = alias_index(F.col("alias"))
+    used = mapping.select(found.alias("s"), number.alias("i")).filter(F.col("s") == suffix).select("i").distinct().withColumn("b", F.floor(F.col("i") / block))
+    blocks = ranked(used.groupBy("b").agg(F.count("*").alias("c")), ["b"], name="r")
+    bounds = blocks.agg(F.count("*").alias("n"), F.min(F.when(F.col("b") > F.col("r"), F.col("r"))).alias("gap")).first()
+    empty = bounds["gap"] if bounds["gap"] is not None else bounds["n"]
+    open_ = [r.b for r in blocks.filter((F.col("c") < block) & (F.col("b") < empty)).orderBy("b").limit(n).select("b").collect()]
+    taken = {r.i for r in used.filter(F.col("b").isin(open_)).select("i").collect()} if open_ else set()
+    free = (i for b in [*open_, empty] for i in range(b * block, (b + 1) * block) if i not in taken)
+    return [i for i, _ in zip(free, range(n))]
+
+
+def alias_text(suffix: str, index: int) -> str:
+    """The alias number `index` of a suffix."""
+    if index < len(STEMS + BRANCHES):
+        return (STEMS + BRANCHES)[index] + suffix
+    turn, stem = divmod(index - len(STEMS + BRANCHES), len(STEMS))
+    return f"{STEMS[stem]}{suffix}{turn + 2}"
+
+
 @dataclass
 class Aliases:
-    """The numbers given out, for edits by hand. An alias that comes back is given out again before a new number, and is
-    then taken as any other (so no two items can have it)."""
+    """The aliases to give out, for edits by hand. An alias that comes back is given out again before a new number, and is
+    then taken as any other (so no two items can have it).
+
+    free: the least free numbers of each suffix; without them, all numbers but those of the aliases in use are free.
+    """
 
     used: set[str] = field(default_factory=set)
     back: dict[str, list[str]] = field(default_factory=dict)
+    free: dict[str, list[int]] | None = None
 
     def give(self, category: str) -> str:
         waiting = [a for a in self.back.get(category, []) if a not in self.used]
+        suffix = ALIAS_SUFFIX.get(category, "某")
         if waiting:
             self.back[category].remove(waiting[0])
-            self.used.add(waiting[0])
-            return waiting[0]
-        suffix, i = ALIAS_SUFFIX.get(category, "某"), 0
-        while True:
-            stem = (STEMS + BRANCHES)[i] if i < 22 else STEMS[(i - 22) % 10]
-            alias = stem + suffix + ("" if i < 22 else str((i - 22) // 10 + 2))
-            if alias not in self.used:
-                self.used.add(alias)
-                return alias
-            i += 1
+            alias = waiting[0]
+        else:
+            again = {a for held in self.back.values() for a in held}
+            numbers = iter(sorted({*self.free[suffix], *(i for a in again if (i := index_of_alias(a, suffix)) is not None)})) if self.free is not None else count()
+            alias = next(a for a in (alias_text(suffix, i) for i in numbers) if a not in self.used)
+        self.used.add(alias)
+        return alias
 
     def reserve(self, alias: str) -> None:
         self.used.add(alias)
@@ -132,8 +173,11 @@ Edit = tuple[str, str, object]
 def edit(mapping: DataFrame, edits: list[Edit]) -> DataFrame:
     """The mapping after edits by hand, in their order. A split item is named original#split#alias.
 
-    Edits touch named items, so only these (and, for new aliases, the aliases in use of one suffix, read when needed) come
-    to the driver; the rows then replace theirs by a join.
+    An edit of an item that is not there, a merge into itself and a split that would leave an item without files (or
+    that takes files it has not) change nothing. A custom item without a text is an error.
+
+    Edits touch named items, so only these and, for new aliases, as many free numbers as there are edits come to the
+    driver; the rows then replace theirs by a join.
     """
     spark = mapping.sparkSession
     named = {e[1].strip() if e[0] == "custom" else e[1] for e in edits} | {e[2] for e in edits if e[0] == "merge"}
@@ -142,12 +186,20 @@ def edit(mapping: DataFrame, edits: list[Edit]) -> DataFrame:
     items: dict[str, dict] = {}
     for r in sorted(mapping.join(names, "original", "left_semi").collect(), key=lambda r: r.id):
         items[r.original if r.original not in items else f"{r.original}#split#{r.alias}"] = r.asDict()
-    aliases = Aliases()
-    if any(e[0] in ("custom", "split") for e in edits):
-        suffixes = [F.col("alias").rlike(f"^.(?:{'|'.join(set(ALIAS_SUFFIX.values()))})[0-9]*$")]
-        aliases.used |= {r.alias for r in mapping.filter(is_alias_category(F.col("category")) & suffixes[0]).select("alias").distinct().toLocalIterator()}
-    aliases.used |= {i["alias"] for i in items.values()}
+    new_ones = [e for e in edits if e[0] in ("custom", "split")]
+    given = [e[2] for e in edits if e[0] == "custom" and e[2]]
+    held = mapping.filter(F.col("alias").isin(given)).select("alias").collect() if given else []
+    needs = {ALIAS_SUFFIX.get(c, "某") for c in ["custom"] * bool(new_ones) + [i["category"] for i in items.values() if new_ones]}
+    aliases = Aliases(free={s: free_numbers(mapping, s, 2 * len(edits) + 1) for s in needs})
+    aliases.used |= {i["alias"] for i in items.values()} | {r.alias for r in held}
+    theirs = F.broadcast(spark.createDataFrame([(i["alias"],) for i in items.values()], "alias string").distinct())
+    in_use = Counter({r.alias: r.n for r in mapping.join(theirs, "alias", "left_semi").groupBy("alias").agg(F.count("*").alias("n")).collect()})
     next_id = (mapping.agg(F.max("id")).first()[0] or 0) + 1
+
+    def lets_go(alias: str) -> bool:
+        in_use[alias] -= 1
+        return in_use[alias] <= 0
+
     for kind, name, argument in edits:
         name = name.strip() if kind == "custom" else name
         item = items.get(name)
@@ -159,6 +211,7 @@ def edit(mapping: DataFrame, edits: list[Edit]) -> DataFrame:
                 continue
             alias = argument or aliases.give("custom")
             aliases.reserve(alias)
+            in_use[alias] += 1
             items[name] = {"id": next_id, "original": name, "category": "custom", "alias": alias, "occurrences": 0, "enabled": True, "source": "custom", "confidence": 1.0, "pending": False, "files": None}
             next_id += 1
         elif item is None:
@@ -171,7 +224,7 @@ def edit(mapping: DataFrame, edits: list[Edit]) -> DataFrame:
             item["pending"] = True
         elif kind == "remove":
             del items[name]
-            if item["category"] in ALIAS_SUFFIX and all(x["alias"] != item["alias"] for x in items.values()):
+            if lets_go(item["alias"]) and item["category"] in ALIAS_SUFFIX:
                 aliases.release(item["category"], item["alias"])
         elif kind == "merge":
             target = items.get(argument)
@@ -179,14 +232,16 @@ def edit(mapping: DataFrame, edits: list[Edit]) -> DataFrame:
                 continue
             old = item["alias"]
             item.update(alias=target["alias"], pending=target["pending"])
-            if old != target["alias"] and item["category"] in ALIAS_SUFFIX and all(x["alias"] != old for x in items.values()):
+            in_use[target["alias"]] += 1
+            if lets_go(old) and item["category"] in ALIAS_SUFFIX:
                 aliases.release(item["category"], old)
         elif kind == "split":
             files, moved = item["files"], set(argument)
             if files is None or not moved or not moved < set(files):
-                raise ValueError("a split needs some, but not all, of the item's files")
+                continue
             item["files"] = sorted(set(files) - moved)
             alias = aliases.give(item["category"]) if item["category"] in ALIAS_SUFFIX else item["alias"]
+            in_use[alias] += 1
             items[f"{name}#split#{alias}"] = item | {"id": next_id, "alias": alias, "occurrences": 0, "files": sorted(moved)}
             next_id += 1
         else:
@@ -209,17 +264,27 @@ def pairs_by_file(mapping: DataFrame) -> DataFrame:
     return grouped.select("file", "p")
 
 
+def pair_rows(mapping: DataFrame) -> DataFrame:
+    """(file, id, original, alias) of the items that take part, one row for each file; file is null for global items."""
+    return effective(mapping).select(F.explode_outer("files").alias("file"), "id", "original", "alias")
+
+
 def pairs_of(mapping: DataFrame, file: str) -> DataFrame:
     """The pairs of one file in their order: id, original, alias, place."""
     rows = effective(mapping).filter(F.col("files").isNull() | F.array_contains("files", file))
-    order = Window.orderBy(F.length("original").desc(), "id")
-    return rows.select("id", "original", "alias", F.row_number().over(order).alias("place"))
+    rows = ranked(rows.select("id", "original", "alias", (-F.length("original")).alias("n")), ["n", "id"], name="place")
+    return rows.select("id", "original", "alias", (F.col("place") + 1).cast("int").alias("place"))
 
 
 def empty_mapping(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], SCHEMA)
 
 
+def clear(mapping: DataFrame) -> DataFrame:
+    """The mapping without its items; numbers and aliases begin anew."""
+    return empty_mapping(mapping.sparkSession)
+
+
 def ambiguous_aliases(mapping: DataFrame) -> DataFrame:
     """(alias, originals): aliases or masks that stand for more than one original and so can't be restored for sure."""
     rows = effective(mapping).groupBy("alias").agg(F.sort_array(F.collect_set("original")).alias("originals"))

@@ -102,6 +102,16 @@ def tokenized(rows: DataFrame, vocabulary: dict[str, int], text: str = "text") -
     return rows.withColumn("tokens", run(F.col(text)))
 
 
+def encoded(rows: DataFrame, vocabulary: dict[str, int], text: str = "text") -> DataFrame:
+    """Adds ids, array<int>: [CLS], the tokens that the model sees and [SEP]; a null text is empty."""
+
+    @F.pandas_udf("array<int>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([token_ids(word_pieces(t or "", vocabulary), vocabulary) for t in texts], dtype=object)
+
+    return rows.withColumn("ids", run(F.col(text)))
+
+
 @cache
 def _session(folder: str):
     import onnxruntime

@@ -5,31 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.functions.lineage import cut
+from cloakwork.functions.lineage import cut, fresh
 from cloakwork.functions.matching import REPLACED, apply_spans, replacement_spans
+from cloakwork.operators.search import MOST, search
 
-PAIRS = "array<struct<original:string,alias:string>>"
 
 
-def _joined(paragraphs: DataFrame, pairs: DataFrame, file: str) -> DataFrame:
-    """Paragraphs with _pairs: those of their file and the global ones, in one order."""
-    pairs = cut(pairs)
-    local = pairs.filter(F.col("file").isNotNull()).select(F.col("file").alias("_file"), F.col("p").alias("_own"))
-    met = paragraphs.join(local, F.col(file) == F.col("_file"), "left")
-    glob = pairs.filter(F.col("file").isNull()).select(F.col("p").alias("_all"))
-    rows = glob.limit(1).collect()  # one row: the items that a user has added by hand
-    kind = "array<struct<n:int,id:long,original:string,alias:string>>"
-    every = F.array(*[F.struct(F.lit(x.n).alias("n"), F.lit(x.id).cast("long").alias("id"), F.lit(x.original).alias("original"), F.lit(x.alias).alias("alias")) for x in rows[0]["_all"]]) if rows else F.array()
-    both = F.array_sort(F.concat(F.coalesce(F.col("_own").cast(kind), F.array().cast(kind)), every.cast(kind)))
-    return met.withColumn("_pairs", F.transform(both, lambda x: F.struct(x["original"].alias("original"), x["alias"].alias("alias"))).cast(PAIRS))
+def chosen(found: Column) -> Column:
+    """Of places (n, id, start, end, value) those that are still free, the longest string first, then by id and start."""
 
+    def take(acc: Column, f: Column) -> Column:
+        taken = F.exists(acc, lambda a: (a["start"] < f["end"]) & (f["start"] < a["end"]))
+        return F.when(taken, acc).otherwise(F.concat(acc, F.array(F.struct(f["start"], f["end"], f["value"].alias("alias"))))).cast(REPLACED)
 
-def redact(paragraphs: DataFrame, pairs: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
-    """Paragraphs with `redacted` and `n_replaced`. pairs: from mapping.pairs_by_file. Longest originals first, each at
-    all places that are still free."""
-    rows = _joined(paragraphs, pairs, file).withColumn("_spans", replacement_spans(F.col(text), F.col("_pairs")))
-    out = rows.withColumn("redacted", apply_spans(F.col(text), F.col("_spans"))).withColumn("n_replaced", F.coalesce(F.size("_spans"), F.lit(0)))
-    return out.select(*paragraphs.columns, "redacted", "n_replaced")
+    return F.array_sort(F.aggregate(F.array_sort(found), F.array().cast(REPLACED), take))
+
+
+def redact(paragraphs: DataFrame, pairs: DataFrame, file: str = "file", text: str = "text", most: int = MOST) -> DataFrame:
+    """Paragraphs with `redacted` and `n_replaced`, which replace columns of these names.
+
+    pairs: from mapping.pair_rows (file, null for all files; id, original, alias). Longest originals first, each at all
+    places that are still free. A null text stays null, with nothing replaced; empty tables on either side are allowed.
+    """
+    found, spans = fresh("found"), fresh("spans")
+    strings = cut(pairs.select("file", "id", F.col("original").alias("string"), F.col("alias").alias("value")))
+    rows = search(paragraphs, strings, found, file, text, most)
+    rows = rows.withColumn(spans, F.when(F.size(found) > 0, chosen(F.col(found))).otherwise(F.array().cast(REPLACED)))
+    kept = [c for c in paragraphs.columns if c not in ("redacted", "n_replaced")]
+    new = F.when(F.size(spans) > 0, apply_spans(F.col(text), F.col(spans))).otherwise(F.col(text))
+    return rows.select(*kept, new.alias("redacted"), F.size(spans).alias("n_replaced"))
 
 
 def redact_runs(runs: Column, pairs: Column) -> tuple[Column, Column]:

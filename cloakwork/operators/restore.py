@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakwork.functions.fixed import FORMAT_VERSION, RESTORABLE
 from cloakwork.functions.matching import apply_spans, replacement_spans
+from cloakwork.operators.search import MOST, Finder, blocks
 
 
 def validate(mapping: dict) -> None:
@@ -62,16 +67,37 @@ def restore_paragraph(text: Column, pairs: Column) -> tuple[Column, Column]:
     return apply_spans(text, spans), F.size(spans)
 
 
-def unrestored(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "name") -> DataFrame:
+def _absent(spark: SparkSession, items: list[tuple]) -> Callable[[str], Column]:
+    """A function of a text column: the items (id, alias, original, occurrences) whose alias is not in the text."""
+    shared = spark.sparkContext.broadcast(items)
+    kind = pa.list_(pa.struct([("alias", pa.string()), ("original", pa.string()), ("occurrences", pa.int64())]))
+
+    @F.arrow_udf("array<struct<alias:string,original:string,occurrences:long>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        finder = Finder((k, a, "") for k, (_, a, _, _) in enumerate(shared.value))
+        rows = [{"alias": a, "original": o, "occurrences": n} for _, a, o, n in shared.value]
+        aliases = [r["alias"] for r in rows]
+        for texts in batches:
+            out = []
+            for t in texts.to_pylist():
+                there = {t[f["start"] : f["end"]] for f in finder.places(t)}
+                out.append([r for r, a in zip(rows, aliases) if a not in there and a != ""])
+            yield pa.array(out, kind)
+
+    return run
+
+
+def unrestored(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "name", most: int = MOST) -> DataFrame:
     """(key, alias, original, occurrences): enabled items whose alias is nowhere in a document before restoring.
 
-    Each document's text carries the item list through one broadcast-free pass: items are the user's mapping file, which
-    was read on the driver and so is bounded by it.
+    items: id, alias, original, occurrences, enabled. They are looked for in blocks of about `most` bytes, each in a pass
+    of its own without a shuffle. Repeated rows are each reported; in a null text nothing is found.
     """
-    rows = items.filter(F.coalesce("enabled", F.lit(True))).select("id", "alias", "original", "occurrences").orderBy("id").collect()
-    kind = "array<struct<alias:string,original:string,occurrences:long>>"
-    every = F.array(*[F.struct(F.lit(r.alias).alias("alias"), F.lit(r.original).alias("original"), F.lit(r.occurrences).cast("long").alias("occurrences")) for r in rows]).cast(kind)
-    return docs.select(key, F.explode(F.filter(every, lambda x: ~F.contains(F.col(text), x["alias"]))).alias("x")).select(key, "x.*")
+    kept = items.filter(F.coalesce("enabled", F.lit(True)) & F.col("alias").isNotNull()).orderBy("id")
+    kept = kept.select("id", F.col("alias").alias("string"), F.col("original").alias("value"), F.col("occurrences").cast("long").alias("occurrences"))
+    parts = [docs.select(F.col(key).alias("_k"), F.explode(_absent(docs.sparkSession, block)(F.col(text).cast("string"))).alias("x")) for block in blocks(kept, most)]
+    out = reduce(DataFrame.unionByName, parts) if parts else docs.select(F.col(key).alias("_k"), F.expr("named_struct('alias', '', 'original', '', 'occurrences', 0L)").alias("x")).limit(0)
+    return out.select(F.col("_k").alias(key), "x.*")
 
 
 def report_line(alias: Column, original: Column, occurrences: Column) -> Column:

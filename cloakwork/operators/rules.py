@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 
 from cloakwork.functions.checksums import VALIDATORS
 from cloakwork.functions.fixed import RULES
-from cloakwork.functions.matching import as_hits, find_all
+from cloakwork.functions.matching import HIT, as_hits, find_all
 
 
 def rule_hits(text: Column, rule: str) -> Column:
-    """Hits of one rule. A match that fails its checksum is used up all the same."""
-    category, pattern, group, at, check = RULES[rule]
-    spans = find_all(text, pattern, group, at)
-    if check:
-        spans = F.filter(spans, lambda s: VALIDATORS[check](s["text"]))
-    return as_hits(spans, category, 0.99, "rule")
+    """Hits of one rule. A match that fails its checksum is used up all the same. A null text has none."""
+    r = RULES[rule]
+    spans = find_all(text, r.value, r.before, r.after, r.need)
+    if r.check:
+        spans = F.filter(spans, lambda s: VALIDATORS[r.check](s["text"]))
+    return as_hits(spans, r.category, 0.99, "rule")
 
 
-def all_rule_hits(text: Column) -> Column:
-    """Hits of all rules, one rule after the other; texts without a digit or an @ skip them."""
-    found = F.concat(*[rule_hits(text, r) for r in RULES])
-    return F.when(text.rlike("(?U)[@\\dA-Za-z]"), found).otherwise(F.filter(found, lambda h: F.lit(False)))
+def all_rule_hits(text: Column, rules: tuple[str, ...] = tuple(RULES)) -> Column:
+    """Hits of the rules, one after the other; a text without what any of them needs is passed over by one search."""
+    need = "(?Ud)" + "|".join(dict.fromkeys(RULES[r].need for r in rules))
+    return F.when(text.rlike(need), F.concat(*[rule_hits(text, r) for r in rules])).otherwise(F.array().cast(f"array<{HIT}>"))

@@ -2,40 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.operators.arbitrate import arbitrate, findings, status_of
+from cloakwork.functions.lineage import cut
+from cloakwork.operators.arbitrate import findings
 from cloakwork.operators.lexicon import Lexicon
-from cloakwork.operators.mapping import build_mapping, pairs_by_file
+from cloakwork.operators.mapping import build_mapping, pair_rows
 from cloakwork.operators.redact import redact
-from cloakwork.functions.matching import numbered
-from cloakwork.operators.rules import rule_hits
-
+from cloakwork.sources.files import lines_of
 
-def scan(paragraphs: DataFrame, lex: Lexicon | None = None, mask_judicial: bool = False, provider=None) -> tuple[DataFrame, DataFrame]:
-    """(findings, mapping) of paragraphs: file, doc_seq, big, para_index, text."""
-    found = findings(paragraphs, lex, mask_judicial, provider)
-    return found, build_mapping(found)
 
+@dataclass(frozen=True)
+class ScanSettings:
+    """What a user sets for a scan: whether judicial names are masked, and whether the model is asked."""
 
-def deidentify(paragraphs: DataFrame, lex: Lexicon | None = None) -> DataFrame:
-    """Paragraphs with redacted text and the number of replacements."""
-    return redact(paragraphs, pairs_by_file(scan(paragraphs, lex)[1]))
+    mask_judicial: bool = False
+    use_model: bool = False
 
 
-def paragraphs_of(docs: DataFrame) -> DataFrame:
-    """The lines of documents as paragraphs: file, doc_seq, big, para_index, text."""
-    rows = docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file"), F.col("doc_id").alias("doc_seq"), F.lit(False).alias("big"), F.posexplode(F.split("text", "\n")).alias("para_index", "text"))
-    return rows.filter(F.trim("text") != "")
+def scan(paragraphs: DataFrame, lex: Lexicon | None = None, settings: ScanSettings = ScanSettings(), provider: Callable[[str], list[dict]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(findings, mapping) of paragraphs: file, doc_seq, big, para_index, text. The scan runs once."""
+    if settings.use_model and provider is None:
+        raise ValueError("the model is to be asked, but no provider is given")
+    found = cut(findings(paragraphs, lex, settings.mask_judicial, provider if settings.use_model else None))
+    return found, build_mapping(found)
 
 
-def number_findings(paragraphs: DataFrame, rules: tuple[str, ...] = ("bank_card", "email")) -> DataFrame:
-    """Findings of some rules alone, for text that can hold nothing else. Paragraphs without a digit run or an @ are
-    passed over by one cheap test."""
-    rows = paragraphs.filter(F.col("text").rlike("[0-9]{9}|@"))
-    hits = numbered(F.concat(*[rule_hits(F.col("text"), r) for r in rules]))
-    rows = rows.withColumn("_hits", hits).select("file", "doc_seq", "big", "para_index", F.explode_outer(arbitrate(F.col("_hits"))).alias("h")).filter(F.col("h").isNotNull())
-    return rows.select("file", "doc_seq", "big", "para_index", "h.start", "h.end", F.col("h.text").alias("original"), "h.category", "h.confidence", "h.source", status_of(F.col("h.confidence")).alias("status"))
+def deidentify(paragraphs: DataFrame, lex: Lexicon | None = None, settings: ScanSettings = ScanSettings(), provider: Callable[[str], list[dict]] | None = None) -> DataFrame:
+    """Paragraphs with redacted text and the number of replacements."""
+    return redact(paragraphs, pair_rows(scan(paragraphs, lex, settings, provider)[1]))
 
 
+def paragraphs_of(docs: DataFrame) -> DataFrame:
+    """The lines of documents (doc_id, text) that are not blank as paragraphs: file, doc_seq, big, para_index, text."""
+    rows = docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file"), F.col("doc_id").alias("doc_seq"), F.lit(False).alias("big"), "text")
+    return lines_of(rows).select("file", "doc_seq", "big", "para_index", "text")

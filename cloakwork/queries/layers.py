@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cloakwork.functions import checksums, matching
-from cloakwork.functions.fixed import LEADING_BAD, RULES
+from cloakwork.functions.fixed import ADDRESS_PREFIXES, LEADING_BAD, NER_LABELS, RULES
 from cloakwork.functions.matching import HIT, numbered
 from cloakwork.operators import arbitrate, evaluate, lexicon, ner, rules
 from cloakwork.queries import synth as S
@@ -58,14 +58,20 @@ _RULES = {
     "r14_birth_tail": ("birth_tail", S.DATE, [("男，", "出生，"), ("", "出生")], f"concat({S.DATE}, '入职')"),
 }
 for _name, (_rule_name, _value, _around, _negative) in _RULES.items():
-    _spans(_name, _rule(_rule_name), _value, _around, _negative, RULES[_rule_name][0])
+    _spans(_name, _rule(_rule_name), _value, _around, _negative, RULES[_rule_name].category)
+
+_WIDE = "'0123456789', '０１２３４５６７８９'"
+_spans("r1_full_width", _rule("id_number"), f"concat(translate(substr({S.id_number()}, 1, 6), {_WIDE}), substr({S.id_number()}, 7, 8), translate(substr({S.id_number()}, 15, 3), {_WIDE}), substr({S.id_number()}, 18, 1))", [("身份证号", "，"), ("id:", "")], f"translate({S.id_number(1)}, {_WIDE})", "id_number")
+_spans("r3_full_width", _rule("bank_card"), f"translate({S.card()}, {_WIDE})", [("卡号", "。"), ("a", "b")], f"translate({S.card(3)}, {_WIDE})", "bank_card")
 
 _ROOM = f"concat('工业大道', {txt(f'1 + {K} % 90')}, '附近')"
 _spans("l1_judicial", _lex(lexicon.judicial_persons), S.NAME, [("审判长：", "\n"), ("书记员 ", "")], f"concat('审判长：', {S.GIVEN}, '中心')", "person")
-_spans("l2_prompted", _lex(lexicon.prompted_persons), S.NAME, [("原告：", "，男"), ("借款人（乙方）：", "。")], f"concat('原告：', {S.GIVEN}, '公司')", "person")
+_spans("l2_prompted", _lex(lexicon.prompted_persons), S.NAME, [("姓 名：", "，男"), ("借款人（乙方）：", "。")], f"concat('请在合同上签名', {S.NAME})", "person")
+_spans("l2_rare_surnames", _lex(lexicon.prompted_persons), f"concat(substr('卫华云', 1 + CAST({K} % 7 % 3 AS INT), 1), {S.GIVEN})", [("原告：", "，男"), ("证人", "。")], f"concat('原告：', {S.GIVEN}, '公司')", "person")
 _spans("l3_gendered", _lex(lexicon.gendered_persons), S.NAME, [("", "，男，汉族"), ("。", "，女。")], f"concat({S.NAME}, '，性别不详')", "person")
 _spans("l6_persons", _lex(lexicon.persons), S.NAME, [("原告：", "，男，汉族"), ("审判员", "。")], f"concat({S.NAME}, '认为')", "person")
 _spans("l7_company", _lex(lexicon.companies), S.COMPANY, [("原告", "诉称。"), ("确认", "，")], f"concat('北京', {S.GIVEN}, '律师事务所')", "company")
+_spans("l7_company_names", _lex(lexicon.companies), f"concat('名流', {S.GIVEN}, '置业有限公司')", [("", "，"), ("原告", "")], f"concat('北京', {S.GIVEN}, '律师事务所')", "company")
 _spans("l8_address", _lex(lexicon.addresses), S.ADDRESS, [("住", "，"), ("位于", "。")], f"concat({S.GIVEN}, {S.SURNAME}, '路')", "address")
 _spans("l9_region_address", _lex(lexicon.region_addresses), f"concat('惠州市', {_ROOM})", [("，", "，"), ("", "")], f"concat('惠州市', {S.GIVEN}, '区人民法院')", "address")
 _spans("l10_custom", _lex(lexicon.custom_names), f"CASE WHEN {K} % 2 = 0 THEN '欧阳若兰' ELSE '张某某' END", [("见", "签字"), ("", "")], "'欧阳'", "person")
@@ -85,10 +91,14 @@ def _either(make) -> str:
     return f"CASE WHEN {K} % 2 = 0 THEN {make(0)} ELSE {make(1)} END"
 
 
-_flag("f1_valid_id", _either(S.id_number), checksums.valid_id_number, f"{K} % 2 = 0")
-_flag("f2_valid_luhn", _either(S.card), checksums.valid_luhn, f"{K} % 2 = 0")
+def _wide(value: str) -> str:
+    return f"CASE WHEN {K} % 4 < 2 THEN {value} ELSE translate({value}, {_WIDE}) END"
+
+
+_flag("f1_valid_id", _wide(_either(S.id_number)), checksums.valid_id_number, f"{K} % 2 = 0")
+_flag("f2_valid_luhn", _wide(_either(S.card)), checksums.valid_luhn, f"{K} % 2 = 0")
 _flag("f3_valid_uscc", _either(S.uscc), checksums.valid_uscc, f"{K} % 2 = 0")
-_flag("l4_valid_name", f"CASE WHEN {K} % 3 = 0 THEN concat({S.GIVEN}, '明') WHEN {K} % 3 = 1 THEN concat({S.SURNAME}, '局') ELSE {S.NAME} END", lambda v: lexicon.valid_name(v, LEX), f"{K} % 3 = 2")
+_flag("l4_valid_name", f"CASE WHEN {K} % 6 = 5 THEN concat('欧阳', {S.GIVEN}) WHEN {K} % 3 = 0 THEN concat({S.GIVEN}, '明') WHEN {K} % 3 = 1 THEN concat({S.SURNAME}, '局') ELSE {S.NAME} END", lambda v: lexicon.valid_name(v, LEX), f"{K} % 3 = 2 OR ({K} % 3 = 0 AND {S.GIVEN} = '强')")
 _flag("l5_near_stopword", f"CASE WHEN {K} % 3 = 0 THEN '被告中级人民法院' WHEN {K} % 3 = 1 THEN '原告张法院长' ELSE concat('原告：', {S.NAME}, '，') END", lambda v: lexicon.near_stopword(v, F.lit(2), F.lit(5), LEX), f"{K} % 3 < 2")
 
 
@@ -101,6 +111,14 @@ def _p1(spark, sf_dir):
 _R.add("p1_strip_prefixes", _p1, f"SELECT {K}, CASE WHEN {K} % 2 = 0 THEN concat('人', {S.COMPANY}) ELSE {S.COMPANY} END AS value FROM customer")
 
 
+def _p1_many(spark, sf_dir):
+    rows = customers(spark, sf_dir, value=f"concat(repeat('住', CAST(25 + {K} % 40 AS INT)), '址', {S.NAME})")
+    return rows.select(K, matching.strip_prefixes(F.col("value"), list(ADDRESS_PREFIXES)).alias("value"))
+
+
+_R.add("p1_many_passes", _p1_many, f"SELECT {K}, {S.NAME} AS value FROM customer")
+
+
 def _p2(spark, sf_dir):
     rows = customers(spark, sf_dir, value=f"concat(CASE WHEN {K} % 2 = 0 THEN '其曾在' ELSE '确认' END, {S.COMPANY})")
     return rows.select(K, matching.strip_words(F.col("value"), LEADING_BAD).alias("value"))
@@ -191,6 +209,27 @@ def _n2(spark, sf_dir):
 _R.add("n2_word_pieces", _n2, f"SELECT {K}, concat('张:0-1 三:1-2 在:2-3 ab:3-5 ##c:5-6 ', CASE WHEN {K} % 2 = 0 THEN '##1' ELSE '[UNK]' END, ':6-7 ，:7-8 x:8-9') AS tokens FROM customer")
 
 
+_VOCAB_FILE = "[PAD]\n[UNK]\r\n[CLS]\n[SEP]\n张\n三\u2028\n\n##c"
+_R.add("n1_vocabulary", lambda spark, d: spark.createDataFrame([(w, i) for w, i in ner.read_vocabulary(_VOCAB_FILE).items()], "word string, id int"), "SELECT * FROM (VALUES ('[PAD]', 0), ('[UNK]', 1), ('[CLS]', 2), ('[SEP]', 3), ('张', 4), (concat('三', chr(8232)), 5), ('', 6), ('##c', 7)) AS v(word, id)")
+
+
+def _n4(spark, sf_dir):
+    rows = ner.encoded(customers(spark, sf_dir, text=f"concat(repeat('张', CAST({K} % 700 AS INT)), '在')"), _VOCAB)
+    ids = F.col("ids")
+    return rows.select(K, F.size("ids").cast("long").alias("n"), F.element_at(ids, 1).alias("first"), F.element_at(ids, 2).alias("second"), F.element_at(ids, -2).alias("before_last"), F.element_at(ids, -1).alias("last"))
+
+
+# A sentence is cut behind 510 tokens; 2 and 3 begin and end it.
+_R.add("n4_encode", _n4, f"SELECT {K}, least(510, {K} % 700 + 1) + 2 AS n, 2 AS first, CASE WHEN {K} % 700 = 0 THEN 6 ELSE 4 END AS second, CASE WHEN {K} % 700 >= 510 THEN 4 ELSE 6 END AS before_last, 3 AS last FROM customer")
+_LABEL_NAMES = "['address', 'book', 'company', 'game', 'government', 'movie', 'name', 'organization', 'position', 'scene']"
+_R.add("n9_labels", lambda spark, d: spark.createDataFrame(list(enumerate(NER_LABELS)), "id int, label string"), f"""
+WITH n AS (SELECT unnest({_LABEL_NAMES}) AS x, generate_subscripts({_LABEL_NAMES}, 1) AS i),
+l AS (SELECT 0 AS a, 0 AS i, 'O' AS label UNION ALL SELECT 1, 2 * i, concat('B-', x) FROM n UNION ALL SELECT 1, 2 * i + 1, concat('I-', x) FROM n
+      UNION ALL SELECT 2, CASE x WHEN 'address' THEN 1 WHEN 'book' THEN 2 WHEN 'company' THEN 3 WHEN 'game' THEN 4 WHEN 'government' THEN 5 WHEN 'movie' THEN 6 WHEN 'name' THEN 7 WHEN 'organization' THEN 8 WHEN 'position' THEN 9 ELSE 10 END, concat('S-', x) FROM n
+      UNION ALL SELECT 3, 0, '[PAD]')
+SELECT CAST(row_number() OVER (ORDER BY a, i) - 1 AS INT) AS id, label FROM l""")
+
+
 def _n6(spark, sf_dir):
     tags = F.expr(f"array('B-name', 'I-name', 'O', CASE WHEN {K} % 2 = 0 THEN 'I-name' ELSE 'B-game' END, 'B-company', 'I-company', 'S-address')")
     rows = customers(spark, sf_dir, one="1").select(K, tags.alias("tags"), F.sequence(F.lit(0), F.lit(6)).alias("a"), F.sequence(F.lit(1), F.lit(7)).alias("b"))

@@ -98,12 +98,12 @@ _R.add("m2_add_findings", lambda s, d: flat(table(s, d)), f"WITH {TABLE_SQL} SEL
 
 def _m3(s, d):
     out = mapping.edit(table(s, d), [("custom", " 自定义甲 ", None), ("custom", "自定义乙", "特别代称"), ("custom", "张伟", None)])
-    return flat(out.filter(F.col("original").isin("自定义甲", "自定义乙", "张伟"))).select("original", "category", "alias", "occurrences", "enabled", "pending", "confidence", "files")
+    return flat(out).select("original", "category", "alias", "occurrences", "enabled", "pending", "confidence", "files")
 
 
 _R.add("m3_add_custom", _m3, f"""
 WITH {TABLE_SQL}, n AS (SELECT count(*) AS i FROM mapping WHERE category = 'person')
-SELECT original, category, alias, occurrences, true AS enabled, false AS pending, confidence, files FROM mapping WHERE original = '张伟'
+SELECT original, category, alias, occurrences, true AS enabled, pending AND original <> '张伟' AS pending, confidence, files FROM mapping
 UNION ALL SELECT '自定义甲', 'custom', {alias_sql('i', "'某'")}, 0, true, false, 1.0, NULL FROM n
 UNION ALL SELECT '自定义乙', 'custom', '特别代称', 0, true, false, 1.0, NULL""")
 _R.add("m4_set_enabled", lambda s, d: mapping.edit(table(s, d), [("disable", "张伟", None), ("disable", "无此项", None)]).select("id", "alias", "enabled"), f"WITH {TABLE_SQL} SELECT id, alias, original <> '张伟' AS enabled FROM mapping")
@@ -119,6 +119,18 @@ def _m6(s, d):
 _R.add("m6_remove", _m6, f"""
 WITH {TABLE_SQL}, gone AS (SELECT alias FROM mapping WHERE original = '张伟'), n AS (SELECT count(*) AS i FROM mapping WHERE category = 'person')
 SELECT original, alias FROM mapping WHERE original <> '张伟' UNION ALL SELECT '新人', (SELECT alias FROM gone) FROM n""")
+
+
+def _g5(s, d):
+    """Two that come back are given out again, first to their own category, each once; then come new numbers."""
+    out = mapping.edit(table(s, d), [("remove", "李伟", None), ("remove", "张伟", None), ("custom", "新甲", None), ("custom", "新乙", None), ("custom", "新丙", None)])
+    return out.filter(F.col("category").isin("person", "custom")).select("original", "alias")
+
+
+_R.add("g5_release", _g5, f"""
+WITH {TABLE_SQL}, p AS (SELECT * FROM mapping WHERE category = 'person'), gone AS (SELECT alias, row_number() OVER (ORDER BY id) AS r FROM p WHERE original IN ('张伟', '李伟')), n AS (SELECT count(*) AS i FROM p)
+SELECT original, alias FROM p WHERE original NOT IN ('张伟', '李伟') UNION ALL SELECT CASE r WHEN 1 THEN '新甲' ELSE '新乙' END, alias FROM gone
+UNION ALL SELECT '新丙', {alias_sql('i', "'某'")} FROM n""")
 _R.add("m7_merge", lambda s, d: mapping.edit(table(s, d), [("merge", "李伟", "张伟"), ("merge", "李伟", "无此项")]).select("original", "alias", "pending"), f"""
 WITH {TABLE_SQL}, t AS (SELECT alias AS ta, pending AS tp FROM mapping WHERE original = '张伟')
 SELECT original, CASE WHEN original = '李伟' THEN ta ELSE alias END AS alias, CASE WHEN original = '李伟' THEN tp ELSE pending END AS pending FROM mapping, t""")
@@ -126,7 +138,7 @@ SELECT original, CASE WHEN original = '李伟' THEN ta ELSE alias END AS alias,
 
 def _m8(s, d):
     rows = s.createDataFrame([(1, "张伟", "person", "甲某", 3, True, "lexicon", 0.85, False, ["a.docx", "b.docx"]), (2, "13812345678", "phone", "138****5678", 2, True, "rule", 0.99, False, ["a.docx", "b.docx", "c.docx"])], mapping.SCHEMA)
-    return flat(mapping.edit(rows, [("split", "张伟", ["b.docx"]), ("split", "13812345678", ["c.docx", "a.docx"])])).select("id", "original", "alias", "occurrences", "files")
+    return flat(mapping.edit(rows, [("split", "张伟", ["b.docx"]), ("split", "13812345678", ["c.docx", "a.docx"]), ("split", "13812345678", ["b.docx"]), ("split", "张伟", ["x.docx"]), ("split", "无此项", ["a.docx"])])).select("id", "original", "alias", "occurrences", "files")
 
 
 _R.add("m8_split", _m8, """
@@ -135,7 +147,8 @@ FROM (VALUES (1, '张伟', '甲某', 3, 'a.docx'), (2, '13812345678', '138****56
              (4, '13812345678', '138****5678', 0, 'a.docx,c.docx')) AS v(id, original, alias, n, files)""")
 _R.add("m9_get", lambda s, d: table(s, d).filter(F.col("original") == "王芳").select("original", "category", "occurrences"), f"WITH {TABLE_SQL} SELECT original, category, occurrences FROM mapping WHERE original = '王芳'")
 _R.add("m10_effective_pairs", lambda s, d: mapping.pairs_of(table(s, d), "f1.docx").select("place", "original", "alias"), f"WITH {TABLE_SQL} SELECT CAST(row_number() OVER (ORDER BY length(original) DESC, id) AS INT) AS place, original, alias FROM mapping WHERE NOT pending AND list_contains(string_split(files, ','), 'f1.docx')")
-_R.add("m11_clear", lambda s, d: mapping.empty_mapping(s).agg(F.count("*").alias("n")), "SELECT CAST(0 AS BIGINT) AS n")
+# After clearing, numbers and aliases begin anew.
+_R.add("m11_clear", lambda s, d: mapping.edit(mapping.clear(table(s, d)), [("custom", "新人", None)]).select("id", "original", "alias"), "SELECT CAST(1 AS BIGINT) AS id, '新人' AS original, '甲某' AS alias")
 _R.add("m12_pending", lambda s, d: table(s, d).filter("pending").select("id", "original"), f"WITH {TABLE_SQL} SELECT id, original FROM mapping WHERE pending")
 _R.add("m13_ambiguous", lambda s, d: mapping.ambiguous_aliases(table(s, d)).select("alias", F.size("originals").cast("long").alias("n")), f"WITH {TABLE_SQL} SELECT alias, count(DISTINCT original) AS n FROM mapping WHERE NOT pending GROUP BY alias HAVING count(DISTINCT original) > 1")
 

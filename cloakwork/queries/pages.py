@@ -65,16 +65,22 @@ def _d9(s, d):
 _R.add("d9_covered", _d9, f"SELECT {K}, {_D} < 14 AS is_covered FROM customer")
 
 
+_PAGE = f"CAST(floor({K} / 200) AS INT)"
+
+
 def _d10(s, d):
-    pixels = customers(s, d, page_no="1", px=f"CAST({K} % 50 AS INT)", py=f"CAST(floor({K} / 50) AS INT)", r=f"CAST({K} % 256 AS DOUBLE)", g="10.0D", b="255.0D").filter("py < 3")
-    boxes = s.createDataFrame([(1, 1, 5.0, 2.0, 10.0, 100), (2, 1, 5.0, 90.0, 9.0, 100), (3, 1, 9.0, 2.0, 9.0, 100)], "box_id int, page_no int, x0 double, y0 double, x1 double, height int")
-    return G.background(pixels.drop(K), boxes, 2.0).select("box_id", *_round("r", "g", "b"))
+    """Pages of four rows of 50 pixels, and three boxes on each: over row 1, beyond the pixels, and without width."""
+    pixels = customers(s, d, page_no=_PAGE, px=f"CAST({K} % 50 AS INT)", py=f"CAST(floor({K} % 200 / 50) AS INT)", r=f"CAST({K} % 256 AS DOUBLE)", g="10.0D", b="255.0D").drop(K)
+    boxes = pixels.select("page_no").distinct().selectExpr("page_no", "inline(array(struct('a', 5.0D, 2.0D, 10.0D, 100), struct('b', 5.0D, 90.0D, 9.0D, 100), struct('c', 9.0D, 2.0D, 9.0D, 100))) AS (kind, x0, y0, x1, height)")
+    boxes = boxes.selectExpr("concat(CAST(page_no AS STRING), kind) AS box_id", "page_no", "x0", "y0", "x1", "height")
+    return G.background(pixels, boxes, 2.0).select("box_id", *_round("r", "g", "b"))
 
 
-# Row int(2 * 2) - 3 = 1, columns 10 to 19: customers 60 to 69.
+# Row int(2 * 2) - 3 = 1, columns 10 to 19: the 60th to 69th customer of each page; pages without them are white there.
 _R.add("d10_background", _d10, f"""
-SELECT 1 AS box_id, round(median({K} % 256) / 255, 6) AS r, round(10.0 / 255, 6)::DOUBLE AS g, 1.0::DOUBLE AS b FROM customer WHERE {K} BETWEEN 60 AND 69
-UNION ALL SELECT 2, 1.0, 1.0, 1.0 UNION ALL SELECT 3, 1.0, 1.0, 1.0""")
+WITH p AS (SELECT DISTINCT {_PAGE} AS page FROM customer), m AS (SELECT {_PAGE} AS page, median({K} % 256) AS r FROM customer WHERE {K} % 200 BETWEEN 60 AND 69 GROUP BY 1)
+SELECT concat(CAST(p.page AS VARCHAR), 'a') AS box_id, CASE WHEN r IS NULL THEN 1.0 ELSE round(r / 255, 6) END::DOUBLE AS r, CASE WHEN r IS NULL THEN 1.0 ELSE round(10.0 / 255, 6) END::DOUBLE AS g, 1.0::DOUBLE AS b FROM p LEFT JOIN m ON p.page = m.page
+UNION ALL SELECT concat(CAST(page AS VARCHAR), k), 1.0, 1.0, 1.0 FROM p, (VALUES ('b'), ('c')) AS v(k)""")
 
 
 def _d11(s, d):

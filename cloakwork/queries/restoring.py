@@ -26,6 +26,24 @@ def _x1(s, d):
 _R.add("x1_mapping_json", _x1, f"WITH {M.TABLE_SQL} SELECT '1.0' AS version, 'b1' AS batch_id, 'f1.docx' AS file, id, original, alias, occurrences, enabled FROM mapping")
 
 
+_R.add("x1_mapping_lines", lambda s, d: envelope.items_of_lines(envelope.mapping_lines(M.table(s, d), [("f1.docx", "00")], "b1", "t")).select("id", "original", "category", "alias", "occurrences", "enabled", "source", "confidence"), f"WITH {M.TABLE_SQL} SELECT id, original, category, alias, occurrences, enabled, source, confidence FROM mapping")
+
+
+def _s11(s, d):
+    """The mapping file written, loaded with its checks, and its items as rows; files that are no mapping are refused."""
+    text = envelope.mapping_json(M.table(s, d), [("f1.docx", "00")], "b1", "t").first().json
+    refused = 0
+    for bad in (text.replace('"1.0"', '"0.9"'), '{"version": "1.0", "mappings": []}', '{"version": "1.0", "batch_id": "b"}'):
+        try:
+            envelope.load_mapping(bad)
+        except ValueError:
+            refused += 1
+    return envelope.items_of(s, envelope.load_mapping(text)).select("id", "original", "alias", F.lit(refused).alias("n_refused"))
+
+
+_R.add("s11_load_mapping", _s11, f"WITH {M.TABLE_SQL} SELECT id, original, alias, 3 AS n_refused FROM mapping")
+
+
 def _x2(s, d):
     """Sealed and opened again, with the right password, a wrong one and a changed envelope."""
     text = envelope.mapping_json(M.table(s, d), batch_id="b1", created_at="t").first().json

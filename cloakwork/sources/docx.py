@@ -6,7 +6,7 @@ import io
 import posixpath
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -36,23 +36,25 @@ def paragraphs(content: bytes) -> list[list[str]]:
     return out
 
 
-def build(runs: list[list[str]]) -> bytes:
-    """A docx file with just these paragraphs of runs."""
+def build(runs: list[list[str]], parts: dict[str, list[list[str]]] | None = None) -> bytes:
+    """A docx file with just these paragraphs of runs. parts: those of further parts, as header1 or footnotes."""
     space = "{http://www.w3.org/XML/1998/namespace}space"
-    root = ElementTree.Element(f"{_W}document")
-    body = ElementTree.SubElement(root, f"{_W}body")
-    for paragraph in runs:
-        p = ElementTree.SubElement(body, f"{_W}p")
-        for text in paragraph:
-            t = ElementTree.SubElement(ElementTree.SubElement(p, f"{_W}r"), f"{_W}t", {space: "preserve"})
-            t.text = text
-    kind = "application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"
+    base = "application/vnd.openxmlformats-officedocument.wordprocessingml"
     types = ElementTree.Element(f"{_TYPES}Types")
-    ElementTree.SubElement(types, f"{_TYPES}Override", {"PartName": "/word/document.xml", "ContentType": kind})
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+        for name, paragraphs_ in {"document": runs, **(parts or {})}.items():
+            kind = name.rstrip("0123456789")
+            root = ElementTree.Element(f"{_W}{kind}")
+            body = ElementTree.SubElement(root, f"{_W}body") if kind == "document" else root
+            for paragraph in paragraphs_:
+                p = ElementTree.SubElement(body, f"{_W}p")
+                for text in paragraph:
+                    t = ElementTree.SubElement(ElementTree.SubElement(p, f"{_W}r"), f"{_W}t", {space: "preserve"})
+                    t.text = text
+            ElementTree.SubElement(types, f"{_TYPES}Override", {"PartName": f"/word/{name}.xml", "ContentType": f"{base}.{kind}{'.main' if kind == 'document' else ''}+xml"})
+            archive.writestr(f"word/{name}.xml", ElementTree.tostring(root, "UTF-8", xml_declaration=True))
         archive.writestr("[Content_Types].xml", ElementTree.tostring(types, "UTF-8", xml_declaration=True))
-        archive.writestr("word/document.xml", ElementTree.tostring(root, "UTF-8", xml_declaration=True))
     return out.getvalue()
 
 
@@ -64,7 +66,7 @@ def read(files: DataFrame) -> DataFrame:
             for path, content in zip(batch["path"], batch["content"]):
                 try:
                     found, error = [r for r in paragraphs(bytes(content)) if "".join(r)], None
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
+                except Exception as e:  # a bad file is reported, not raised
                     found, error = [None], f"{type(e).__name__}: {e}"
                 if found:
                     yield pd.DataFrame({"path": path, "para_index": range(len(found)), "runs": found, "text": [None if r is None else "".join(r) for r in found], "error": error})
@@ -125,20 +127,35 @@ def _replace_in(paragraph: ElementTree.Element, pairs: list[tuple[str, str]]) ->
     return len(spans)
 
 
-def write(files: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(path, content, n_replaced, error): docx files rewritten on the executors. pairs: path, pairs array of
-    (original, alias) in their order."""
+Writer = Callable[[bytes, list[tuple[str, str]]], tuple[bytes, int, list[str]]]
+
+
+def rewrite_docx(content: bytes, pairs: list[tuple[str, str]]) -> tuple[bytes, int, list[str]]:
+    """The writer of docx files; it has no warnings."""
+    return (*replace(content, pairs), [])
+
+
+def write(files: DataFrame, pairs: DataFrame, writers: dict[str, Writer] | None = None) -> DataFrame:
+    """(path, content, n_replaced, warnings, error): files rewritten on the executors, each by the writer of its kind.
+
+    files: path, content and, if there are others than docx, reader (the kind, from files.route). pairs: path, pairs
+    array of (original, alias) in their order; a file without any is copied. writers: kind -> content, pairs -> content,
+    number of replacements, warnings. A file that fails, or whose kind has no writer, has its error and no content.
+    """
+    known = {"docx": rewrite_docx, **(writers or {})}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for path, content, own in zip(batch["path"], batch["content"], batch["pairs"]):
+            for path, kind, content, own in zip(batch["path"], batch["reader"], batch["content"], batch["pairs"]):
                 try:
-                    new, n = replace(bytes(content), [(p["original"], p["alias"]) for p in (own if own is not None else [])])
-                    rows.append((path, new, n, None))
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
-                    rows.append((path, None, 0, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "content", "n_replaced", "error"])
-
-    met = files.select("path", "content").join(pairs.select(F.col("path").alias("_p"), "pairs"), F.col("path") == F.col("_p"), "left")
-    return met.select("path", "content", "pairs").mapInPandas(run, "path string, content binary, n_replaced long, error string")
+                    if kind not in known:
+                        raise ValueError(f"no writer for {kind}; pass one")
+                    new, n, warnings = known[kind](bytes(content), [(p["original"], p["alias"]) for p in (own if own is not None else [])])
+                    row = (path, new, n, warnings, None)
+                except Exception as e:  # a bad file is reported, not raised
+                    row = (path, None, 0, [], f"{type(e).__name__}: {e}")
+                yield pd.DataFrame([row], columns=["path", "content", "n_replaced", "warnings", "error"])
+
+    kind = F.col("reader") if "reader" in files.columns else F.lit("docx")
+    met = files.select("path", "content", kind.alias("reader")).join(pairs.select(F.col("path").alias("_p"), "pairs"), F.col("path") == F.col("_p"), "left")
+    return met.select("path", "reader", "content", "pairs").mapInPandas(run, "path string, content binary, n_replaced long, warnings array<string>, error string")

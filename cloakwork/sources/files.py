@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cloakwork.operators.queue import base_name, extension
 
 
 def expand(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, length, content): files below the paths, sorted; a path that does not exist is passed over."""
+    """(path, length, modified, content): files below the paths, at any depth, sorted; a path that does not exist is
+    passed over, and a path given twice counts once."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     there = [p for p in paths if jvm.org.apache.hadoop.fs.Path(p).getFileSystem(conf).exists(jvm.org.apache.hadoop.fs.Path(p))]
     if not there:
-        return spark.createDataFrame([], "path string, length long, content binary")
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(there)
-    return rows.select("path", "length", "content").orderBy("path")
+        return spark.createDataFrame([], "path string, length long, modified timestamp, content binary")
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(dict.fromkeys(there)))
+    return rows.select("path", "length", F.col("modificationTime").alias("modified"), "content").orderBy("path")
 
 
 def lines_of(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -59,12 +61,65 @@ def by_provider(files: DataFrame, provider: Callable[[bytes], list[dict]], schem
                     rows, error = provider(bytes(content)), None
                 except Exception as e:  # a bad file is reported, not raised
                     rows, error = [{}], f"{type(e).__name__}: {e}"
-                if rows:
-                    yield pd.DataFrame({"path": path, "error": error, **{n: [r.get(n) for r in rows] for n in names}})
+                for lo in range(0, len(rows), 10_000):
+                    part = rows[lo : lo + 10_000]
+                    yield pd.DataFrame({"path": path, "error": error, **{n: pd.Series([r.get(n) for r in part], dtype=object) for n in names}})
 
     return files.select("path", "content").mapInPandas(run, f"path string, error string, {schema}")
 
 
+def text_pages(files: DataFrame, provider: Callable[[bytes], list[dict]]) -> DataFrame:
+    """(path, para_index, text, error): the lines that are not blank of files with a text layer, pages in their order.
+
+    provider: content -> list of dicts with page_no and text. A file without any line is an error, as a scanned one is.
+    """
+    pages = by_provider(files, provider, "page_no int, text string")
+    lines = lines_of(pages.filter(F.col("error").isNull()))
+    order = Window.partitionBy("path").orderBy("page_no", "para_index")
+    good = lines.select("path", (F.row_number().over(order) - 1).alias("para_index"), "text", F.lit(None).cast("string").alias("error"))
+    bad = pages.filter(F.col("error").isNotNull()).select("path", F.lit(None).cast("int").alias("para_index"), F.lit(None).cast("string").alias("text"), "error")
+    there = good.select("path").union(bad.select("path")).distinct()
+    empty = files.select("path").join(there, "path", "left_anti")
+    return good.unionByName(bad).unionByName(empty.select("path", F.lit(None).cast("int").alias("para_index"), F.lit(None).cast("string").alias("text"), F.lit("no text layer").alias("error")))
+
+
+def ocr_lines(files: DataFrame, render: Callable[[bytes], Iterable[object]], recognise: Callable[[object], list[tuple]], zoom: float = 200 / 72, chunk: int = 8) -> DataFrame:
+    """(path, page_no, line_no, x0, y0, x1, y1, text, confidence, error): lines of scanned files that are not blank.
+
+    render: content -> images of the pages, in order; recognise: image -> (four corners, text, confidence) of each line.
+    Both run on the executors. A worker holds `chunk` images at a time; boxes are in page units. A file that fails is one
+    row with the error, whatever was read of it before.
+    """
+
+    def read(content: bytes) -> list[dict]:
+        images, out, page = iter(render(content)), [], 0
+        while held := list(islice(images, chunk)):
+            for found in map(recognise, held):
+                kept = [x for x in found if x[1].strip()]
+                for line, (corners, text, sure) in enumerate(kept):
+                    xs, ys = [p[0] / zoom for p in corners], [p[1] / zoom for p in corners]
+                    out.append({"page_no": page, "line_no": line, "x0": min(xs), "y0": min(ys), "x1": max(xs), "y1": max(ys), "text": text, "confidence": float(sure)})
+                page += 1
+        return out
+
+    return by_provider(files, read, "page_no int, line_no int, x0 double, y0 double, x1 double, y1 double, text string, confidence double")
+
+
+def read_cached(files: DataFrame, folder: str, read: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What `read` makes of the files (path, modified, content), read once for each path and time of change.
+
+    read: files -> rows with path. Its rows are kept as Parquet in `folder`, which executors must share; files that are
+    there as they are now are not read again. A changed file is read anew, and its older rows are passed over.
+    """
+    spark = files.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    same = ["path", "modified"]
+    new = files.join(spark.read.parquet(folder).select(*same).distinct(), same, "left_anti") if there else files
+    read(new).join(new.select(*same), "path").write.mode("append").parquet(folder)
+    return spark.read.parquet(folder).join(files.select(*same), same, "left_semi").drop("modified")
+
+
 def missing_provider(kind: str) -> Callable[[bytes], list[dict]]:
     """Stands for a library that is not installed."""
 
