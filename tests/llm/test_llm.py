@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -50,67 +51,116 @@ def edits_within(item, text):
     return least
 
 
+HAN = "的一是不了人我在有他这中大来上个国到说们"
+
+
+def within(item, text):
+    """Edits of the item's best place in the text if they are within its budget."""
+    m = len(item)
+    e = edits_within(item, text)
+    return e if e <= min(int(0.1 * m), (m - 8) // 8) else None
+
+
 def test_decontamination_equals_full_alignment(spark):
+    """Also in Chinese, where a changed character is one edit; items and texts without blanks."""
     rng = random.Random(1)
-    items = [(i, make_text(rng, rng.randrange(8, 20))) for i in range(6)] + [(98, None), (99, "")]
+    items = [(i, make_text(rng, rng.randrange(8, 20))) for i in range(6)] + [(10 + i, "".join(rng.choices(HAN, k=rng.randrange(16, 90)))) for i in range(6)] + [(98, None), (99, "")]
     rows = []
-    for d in range(40):
-        passage = list(rng.choice(items[:6])[1])
+    for d in range(70):
+        passage = list(rng.choice(items[:12])[1])
         for _ in range(rng.randrange(12)):
             k = rng.randrange(len(passage))
-            passage[k : k + 1] = rng.choice([[], ["x"], ["x", passage[k]]])
-        rows.append((d, make_text(rng, 5) + " " + "".join(passage).upper() + "\n" + make_text(rng, 4)))
+            passage[k : k + 1] = rng.choice([[], ["国"], ["x", passage[k]]])
+        rows.append((d, make_text(rng, 5) + " " + "".join(passage).upper() + "\n" + "".join(rng.choices(HAN, k=9)) + make_text(rng, 4)))
     got = {(r.doc_id, r.item_id): r.edits for r in decontaminate.contaminated_regions(docs(spark, rows), spark.createDataFrame(items, "item_id int, text string")).collect()}
-    fold = lambda s: s.encode().translate(decontaminate._FOLD)
-    want = {}
-    for d, t in rows:
-        for i, item in items[:6]:
-            e = edits_within(fold(item), fold(t))
-            if e <= min(int(0.1 * len(item)), (len(item) - 8) // 8):
-                want[d, i] = e
-    assert got == want and len(want) > 5
+    fold = lambda s: decontaminate.folded(s)
+    want = {(d, i): within(fold(item), fold(t)) for d, t in rows for i, item in items[:12]}
+    want = {k: e for k, e in want.items() if e is not None}
+    assert got == want and sum(e > 0 for e in want.values()) > 5 and sum(i >= 10 for _, i in want) > 5
 
 
 def test_decontamination_edges(spark, empty):
-    bench = spark.createDataFrame([(1, "One line. Two"), (2, None), (3, "short"), (4, "ab ab ab ab ab ab ab ab ab ab")], "item_id int, text string")
+    bench = spark.createDataFrame([(1, "One line. Two"), (2, None), (3, "short"), (4, "ab ab ab ab ab ab ab ab ab ab"), (5, "o"), (6, "漢")], "item_id int, text string")
     table = docs(spark, EDGES)
     found = decontaminate.contaminated_regions(table, bench).collect()
-    assert {(r.doc_id, r.item_id) for r in found} == {(1, 1), (None, 1), (5, 4)}
+    assert {(r.doc_id, r.item_id) for r in found} == {(1, 1), (None, 1), (5, 4), (6, 6)}  # the letter o is in no text as a word
     assert [(r.start, r.end, r.edits) for r in found if r.doc_id is None] == [(0, 13, 0)]
     kept = decontaminate.without_contaminated(table, bench)
-    assert kept.columns == table.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 6, 7]
+    assert kept.columns == table.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 7]
     assert decontaminate.contaminated_regions(empty, bench).count() == 0 and decontaminate.without_contaminated(table, bench.limit(0)).count() == len(EDGES)
-    wide = docs(spark, [(1, "é" * 10 + "One line. Two")])
-    assert [(r.start, r.end) for r in decontaminate.contaminated_regions(wide, bench).collect()] == [(10, 23)]
+    wide = docs(spark, [(1, "é" * 10 + " One line. Two😀")])
+    assert [(r.start, r.end) for r in decontaminate.contaminated_regions(wide, bench).collect()] == [(11, 24)]
+
+
+def test_decontamination_by_several_blocks(spark, monkeypatch):
+    rng = random.Random(3)
+    items = [(i, make_text(rng, 12)) for i in range(9)]
+    bench = spark.createDataFrame(items + items[:2], "item_id int, text string")
+    rows = docs(spark, [(d, make_text(rng, 4) + " " + items[d % 9][1]) for d in range(20)] + [(77, "clean text")])
+    one = sorted(map(tuple, decontaminate.contaminated_regions(rows, bench).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK", 100)
+    assert len(list(decontaminate.blocks(bench))) > 3
+    assert sorted(map(tuple, decontaminate.contaminated_regions(rows, bench).collect())) == one and len(one) >= 20
+    assert [r.doc_id for r in decontaminate.without_contaminated(rows, bench).collect()] == [77]
 
 
 def test_decontamination_in_pieces(monkeypatch):
-    index = decontaminate.Index([(7, "the quick brown fox jumps over the lazy dog again and again")])
-    text = (b"zz " * 300) + b"The quick brown fox jumps over the lazy dog again and again" + b" yy" * 300
+    index = decontaminate.Index([(7, "the quick brown fox jumps over the lazy dog again and again"), (8, "yy")])
+    text = "zz " * 300 + "The quick brown fox jumps over the lazy dog again and again" + " yyy yy" * 100
+    whole = index.regions([text])
     monkeypatch.setattr(decontaminate, "CHUNK", 64)
-    assert [(f[1], f[2], f[3], f[4]) for f in index.regions([text])] == [(7, 900, 959, 0)]
+    assert index.regions([text]) == whole
+    assert [f[1:] for f in whole if f[1] == 7] == [(7, 900, 959, 0)] and len(whole) == 101
 
 
 def test_decontamination_does_not_depend_on_the_texts_beside():
-    """Items without their first or last bytes, at both ends of texts of one batch, and an item parted by two texts."""
+    """Items without their first or last characters, at both ends of texts of one batch, and an item parted by two texts."""
     rng = random.Random(4)
-    items = [make_text(rng, n).encode() for n in (12, 30, 60)]
-    index = decontaminate.Index(list(enumerate(t.decode() for t in items)))
-    fold = lambda t: t.translate(decontaminate._FOLD)
-    texts = [make_text(rng, 6).encode()]
+    items = [make_text(rng, n) for n in (12, 30, 60)]
+    index = decontaminate.Index(list(enumerate(items)))
+    texts = [make_text(rng, 6)]
     for i, item in enumerate(items):
         k = int(index.k[i])
         for j in {0, 1, k // 2, k, k + 1}:
-            texts += [item[j:] + b" and more", b"more and " + item[: len(item) - j], item[j:]]
-            texts += [b"other words " + item[: k + 4], item[k + 4 :] + b" other words", b""]
+            texts += [item[j:] + " and more", "more and " + item[: len(item) - j], item[j:]]
+            texts += ["other words " + item[: k + 4], item[k + 4 :] + " other words", ""]
     rows = index.regions(texts)
     assert rows == [(r, *f[1:]) for r, t in enumerate(texts) for f in index.regions([t])]
     got = {(f[0], f[1]): f[4] for f in rows}
-    want = {(r, i): edits_within(fold(item), fold(t)) for r, t in enumerate(texts) for i, item in enumerate(items)}
+    want = {(r, i): edits_within(item, t) for r, t in enumerate(texts) for i, item in enumerate(items)}
     assert got == {x: e for x, e in want.items() if e <= index.k[x[1]]}
     assert all(0 <= s < e <= len(texts[r]) for r, _, s, e, _ in rows)
 
 
+def test_items_with_a_common_prompt():
+    """A thousand items share a prompt, at their beginning or in their middle: results as one by one, in bounded time."""
+    rng = random.Random(6)
+    prompt = make_text(rng, 40) + " "
+    items = [(i, (make_text(rng, i % 3) + " " if i % 2 else "") + prompt + make_text(rng, 3 + i % 9)) for i in range(1000)]
+    index = decontaminate.Index(items)
+    assert len(index.size) < 3 * len(items)
+    text = "".join(c if rng.random() > 0.03 else "x" for c in items[3][1]) + " . " + items[8][1][4:]
+    got = {}
+    for f in index.regions([text]):
+        got[f[1]] = min(f[4], got.get(f[1], 99))
+    want = {i: within(t.strip(), text) for i, t in items[:60]}
+    assert {i: e for i, e in got.items() if i < 60} == {i: e for i, e in want.items() if e is not None} and len(got) > 2
+    began = time.time()
+    index.regions([prompt * (27_000 // len(prompt))])
+    assert time.time() - began < 15
+
+
+def test_decontamination_is_linear_in_repeats():
+    index = decontaminate.Index([(1, "a short item of some characters"), (2, "tiny")])
+    took = []
+    for n in (2000, 16000):
+        began = time.time()
+        found = index.regions(["a short item of some characters tiny " * n])
+        took.append(time.time() - began)
+        assert len(found) == 2 * n and not any(f[4] for f in found)
+    assert took[1] < 24 * took[0] + 1
+
+
 # --- 2 ---
 def test_sketch_recovers_the_difference():
     rng = random.Random(2)
