@@ -2,42 +2,66 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cloakwork.functions.lineage import cut, remove, shared_dir  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, by any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: spark.checkpoint.dir of the session.
+def partitions(spark: SparkSession) -> int:
+    """The number of partitions that this session shuffles into."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows spread evenly by their keys, for work that makes many rows or much of each; AQE leaves them spread."""
+    return df.repartition(partitions(df.sparkSession), *keys)
+
+
+class Steps:
+    """Results of steps, written as Parquet to a folder of the shared one and removed as soon as they are done with.
 
-    Only where the session names none (tests on one machine) is a folder of this machine used.
+    Lost executors cost only the step that runs: what a step has written is read again. While a step runs, Spark removes
+    the shuffle files of each finished query, which nothing reads any more.
     """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    own = os.path.join(tempfile.gettempdir(), f"cloakwork-checkpoints-{os.getpid()}")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(own)
-    return own
 
+    _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder = spark, f"{shared_dir(spark).rstrip('/')}/{fresh_name('steps')}"
+        self.paths: dict[int, tuple[str, DataFrame]] = {}
+        self.made = 0
+
+    def __enter__(self) -> Steps:
+        self.before = self.spark.conf.get(self._CLEAN, "false")
+        self.spark.conf.set(self._CLEAN, "true")
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.spark.conf.set(self._CLEAN, self.before)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """The rows, written and read again."""
+        self.made += 1
+        path = f"{self.folder}/{self.made}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared folder, without the plan that made them."""
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    def leave(self, *steps: DataFrame) -> None:
+        """The files of all other steps go: nothing reads them any more."""
+        stay = {id(s) for s in steps}
+        for name in [n for n in self.paths if n not in stay]:
+            remove(self.spark, self.paths.pop(name)[0])
 
 
 def fresh_name(stem: str) -> str:
@@ -57,16 +81,17 @@ def split_by_bytes(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
         yield lo, len(sizes)
 
 
-def look_up(big: DataFrame, small: DataFrame, keys: list[str], weight: str, parts: int = 10_000) -> DataFrame:
+def look_up(big: DataFrame, small: DataFrame, keys: list[str], weight: str, parts: int = 10_000, total: int | None = None) -> DataFrame:
     """Left join of `big` with `small` on `keys`, even where a key holds a large share of `big`.
 
     `small` has one row per key, with the number of rows that the key has in `big` in `weight`; read twice, it should be
-    cheap. Keys with over 1/parts of the sum of weights are fewer than `parts` whatever the input, so they are broadcast.
+    cheap. total: the sum of the weights, if it is known. Keys with over 1/parts of the sum of weights are fewer than `parts` whatever the input, so they are broadcast.
     The others join by shuffle, each with 1/parts of the rows at most; rows that are already served get a key that
     spreads them and meets nothing. One pass over `big`, no row left out. Columns of `small` come back as they are.
     """
     values = [c for c in small.columns if c not in keys and c != weight]
-    least = (small.agg(F.sum(weight)).first()[0] or 0) // parts + 1
+    total = (small.agg(F.sum(weight)).first()[0] or 0) if total is None else total
+    least = total // parts + 1
     packed = small.select(*keys, F.struct(F.lit(True).alias("_hit"), *values).alias("_v"), F.col(weight).alias("_w"))
     heavy = packed.filter(F.col("_w") >= least).select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], F.col("_v").alias("_hot"))
     light = packed.filter(F.col("_w") < least).select(*[F.col(k).alias(f"_l{i}") for i, k in enumerate(keys)], F.col("_v").alias("_cool"))

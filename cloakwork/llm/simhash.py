@@ -21,10 +21,10 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakwork.llm.common import cut, table
+from cloakwork.llm.common import cut, dealt, fresh_name, look_up, table
 
 SEED = 42
 MAX_BITS = 4
@@ -146,20 +146,97 @@ def _key_rows(fps: DataFrame, sides: dict[int, int]) -> DataFrame:
     return fps.select("fp").mapInArrow(run, "k long, fp long")
 
 
+#: One fingerprint in SAMPLE shows which keys are hot: those of over HOT fingerprints, and of a part in PARTS of all rows.
+SAMPLE, HOT, PARTS = 64, 2048, 100_000
+
+
+def _hot_keys(fps: DataFrame) -> DataFrame | None:
+    """(k): keys that many fingerprints have, or None. By a sample, which only decides how their links are found."""
+    some = cut(_key_rows(fps.filter(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE)) == 0), {0: 0, 1: 1, 2: 2}).groupBy("k").agg(F.count("*").alias("n")).filter("n > 3"))
+    rows = some.agg(F.sum("n")).first()[0] or 0
+    hot = some.filter(F.col("n") >= max(HOT // SAMPLE, rows // PARTS)).select("k")  # fewer than PARTS
+    return hot if hot.limit(1).count() else None
+
+
+def _close(u: str, v: str) -> Column:
+    return F.bit_count(F.col(u).bitwiseXOR(F.col(v))) <= MAX_BITS
+
+
+def _adjacent(rows: DataFrame) -> DataFrame:
+    """(u, v): fingerprints of one key k that are close and follow each other in the order of (k, fp)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = (np.zeros(0, np.int64),) * 2
+        for batch in batches:
+            k, fp = [np.concatenate((b, c.to_numpy(zero_copy_only=False))) for b, c in zip(before, batch.columns)]
+            at = np.nonzero((k[1:] == k[:-1]) & (fp[1:] != fp[:-1]) & (np.bitwise_count((fp[1:] ^ fp[:-1]).view(np.uint64)) <= MAX_BITS))[0]
+            yield pa.RecordBatch.from_arrays([pa.array(fp[at]), pa.array(fp[at + 1])], names=["u", "v"])
+            before = k[-1:], fp[-1:]
+
+    return rows.select("k", "fp").repartitionByRange("k", "fp").sortWithinPartitions("k", "fp").mapInArrow(run, "u long, v long").distinct()
+
+
+def _hot_links(rows: DataFrame) -> DataFrame:
+    """(u, v) that link the fingerprints of hot keys as all their links would. rows: k, fp, side.
+
+    Neighbours in order are linked first, which joins most of a large group. Then fingerprints outside a key's largest
+    component meet the others of the key: no pairs are made within a component, and none within a large group.
+    """
+    first = cut(_adjacent(rows))
+    roots = components(first)
+    placed = look_up(rows, _weighted(roots, rows), ["fp"], "w").select("k", "fp", "side", F.coalesce("root", "fp").alias("root"))
+    placed = cut(placed)
+    sizes = placed.groupBy("k", "root").agg(F.count("*").alias("c"))
+    keys = sizes.groupBy("k").agg(F.max_by("root", F.struct("c", "root")).alias("most"), F.count("*").alias("parts"), F.sum("c").alias("w")).filter("parts > 1")
+    mixed = cut(look_up(placed, cut(keys.drop("parts")), ["k"], "w").filter("found"))
+    few = mixed.filter("root <> most").select(F.col("k").alias("ku"), F.col("fp").alias("u"), F.col("root").alias("ru"), F.col("side").alias("su"))
+    many = mixed.select(F.col("k").alias("kv"), F.col("fp").alias("v"), F.col("root").alias("rv"), F.col("side").alias("sv"))
+    meets = (F.col("ku") == F.col("kv")) & (F.col("ru") != F.col("rv")) & _close("u", "v")
+    return first.union(few.join(many, meets).select("u", "v").distinct())
+
+
+def _weighted(roots: DataFrame, rows: DataFrame) -> DataFrame:
+    """(fp, root, w): the roots of fingerprints with the number of rows that each has."""
+    counts = rows.groupBy("fp").agg(F.count("*").alias("w"))
+    return cut(roots.select(F.col("node").alias("fp"), "root").join(counts, "fp"))
+
+
 def links(fps: DataFrame) -> DataFrame:
-    """(u, v), u < v: every pair of the distinct fingerprints in column fp that differ in at most four bits."""
-    left = _key_rows(fps, {0: 0, 2: 2}).toDF("k", "u")
-    right = _key_rows(fps, {1: 1, 2: 2}).toDF("k", "v")
-    close = (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_BITS)
-    pairs = left.hint("merge").join(right, (left["k"] == right["k"]) & close)
-    return pairs.select("u", "v").distinct()
+    """(u, v): pairs of the distinct fingerprints in column fp that differ in at most four bits.
+
+    All such pairs, but for those that meet in a hot key alone: of these as many as give the same components. Keys have
+    24 bits and more of a fingerprint, so far more than 10**8 distinct fingerprints meet by chance in every key, and
+    candidates then grow with their square over 2**24.
+    """
+    fps = cut(dealt(fps.select("fp"), "fp"))
+    hot = _hot_keys(fps)
+    left, right = _key_rows(fps, {0: 0, 2: 2}).toDF("k", "u"), _key_rows(fps, {1: 1, 2: 2}).toDF("k", "v")
+    if hot is not None:
+        hot = F.broadcast(cut(hot))
+        left, right = (x.join(hot, "k", "left_anti") for x in (left, right))
+    pairs = left.hint("merge").join(right, (left["k"] == right["k"]) & (F.col("u") < F.col("v")) & _close("u", "v")).select("u", "v")
+    if hot is not None:
+        sides = [_key_rows(fps, {s: s}).join(hot, "k", "left_semi").withColumn("side", F.lit(s)) for s in (0, 1, 2)]
+        pairs = pairs.union(_hot_links(cut(sides[0].unionByName(sides[1]).unionByName(sides[2]))))
+    return pairs.distinct()
+
+
+#: Fewer edges than this are little work for one task, whatever star they form.
+FEW_EDGES = 1 << 18
+
+
+def _with_least(edges: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """Edges (u, v) with m, the least node of u's star. A star that holds a large part of many edges is not one task's."""
+    if n < FEW_EDGES:
+        return edges.join(least.drop("w"), "u")
+    return look_up(edges, cut(least), ["u"], "w", 1000, n)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of the edges (u, v) reaches.
 
     Alternates large and small stars until the edges stay as they are, which takes a number of rounds that grows with
-    the logarithm of the longest path. Nothing but a count and a checksum comes to the driver.
+    the logarithm of the longest path. Nothing but counts and a checksum comes to the driver.
     """
     edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
@@ -167,17 +244,25 @@ def components(edges: DataFrame) -> DataFrame:
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if not mark[0] or mark == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = mark
+        before, n = mark, 2 * mark[0]
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("w")).select("u", F.least("u", "m").alias("m"), "w")
+        large = _with_least(both, least, n).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = cut(large) if n >= FEW_EDGES else large
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("w"))
+        small = _with_least(large, least, n).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         small = small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter(F.col("u") != F.col("v"))
         edges = cut(small.distinct())
 
 
+def labelled(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(fp, component_id, docs): the smallest key of each fingerprint's component. nodes: fp, least, docs."""
+    known = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", "docs", F.coalesce("root", "fp").alias("root"))
+    known = cut(known)
+    ids = cut(known.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("w")))
+    return look_up(known, ids, ["root"], "w", 1000).select("fp", "component_id", "docs")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
     """(key, fingerprint, component_id): one row per row of `docs`.
 
@@ -186,13 +271,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     null key take part, and a component of null keys alone has a null id. Repeated rows stay. An empty table gives none.
     """
     rows = cut(with_fingerprints(docs, key, text, words))
-    nodes = cut(rows.groupBy("fp").agg(F.min("key").alias("least")))
-    roots = components(links(nodes))
-    known = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    known = cut(known)
-    ids = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = known.join(ids, "root").select("fp", "component_id")
-    done = rows.join(labels, "fp")
+    nodes = cut(rows.groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("docs")))
+    labels = cut(labelled(nodes, components(links(nodes))))
+    done = look_up(rows, labels, ["fp"], "docs", 1000)
     return done.select(F.col("key").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -201,10 +282,12 @@ def smallest_of_each(docs: DataFrame, marked: DataFrame, key: str, text: str) ->
 
     Rows with equal key and text count as one. Rows with a null key stay only where no row of their component has a key.
     """
-    stay = marked.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_stay")).distinct()
-    rows = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(text, F.lit(""))))
-    kept = rows.join(stay, F.col(key).eqNullSafe(F.col("_stay")), "left_semi")
-    return kept.dropDuplicates([key, "_text_hash"]).select(*docs.columns)
+    stay_, hash_ = fresh_name("stay"), fresh_name("hash")
+    stay = marked.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias(stay_)).distinct()
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = docs.withColumn(hash_, F.struct(F.xxhash64(whole), F.xxhash64(F.lit("2"), whole)))
+    kept = rows.join(stay, F.col(key).eqNullSafe(F.col(stay_)), "left_semi")
+    return kept.dropDuplicates([key, hash_]).select(*docs.columns)
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:

@@ -391,10 +391,51 @@ def test_golay_code_is_perfect():
     assert np.bitwise_count(code ^ words).max() == 3 and (code >> 11 == index).all()
 
 
-def test_components_of_a_chain(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (103, 101)], "u long, v long")
-    got = {r.node: r.root for r in simhash.components(edges).collect()}
-    assert got == {**{i: 0 for i in range(1, 61)}, 101: 100, 103: 100}
+def test_components_of_a_chain(spark, monkeypatch):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (103, 101)], "u long, v long")
+    want = {**{i: 0 for i in range(1, 31)}, 101: 100, 103: 100}
+    assert {r.node: r.root for r in simhash.components(edges).collect()} == want
+    monkeypatch.setattr(simhash, "FEW_EDGES", 0)
+    short = edges.filter("u < 5 OR u >= 100")
+    assert {r.node: r.root for r in simhash.components(short).collect()} == {k: v for k, v in want.items() if k <= 5 or k > 100}
+
+
+def test_large_groups_of_near_copies(spark, monkeypatch):
+    """Keys that many fingerprints share: the components are those of all pairs, and far fewer links are made."""
+    rng = random.Random(17)
+    center, far = rng.getrandbits(64), rng.getrandbits(64)
+    flip = lambda x, n: x ^ sum(1 << b for b in rng.sample(range(64), n))
+    fps = {flip(center, rng.randrange(3)) for _ in range(400)} | {flip(center, 7) for _ in range(30)} | {flip(far, rng.randrange(5)) for _ in range(30)}
+    signed = [(f - 2**64 if f >= 2**63 else f,) for f in fps]
+    frame = spark.createDataFrame(signed, "fp long")
+    roots = {f: f for f in fps}
+
+    def find(x):
+        while roots[x] != x:
+            x = roots[x]
+        return x
+
+    pairs = [(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 4]
+    for a, b in pairs:
+        roots[find(b)] = find(a)
+    want = Counter(find(f) for f in fps)
+    monkeypatch.setattr(simhash, "SAMPLE", 1)
+    monkeypatch.setattr(simhash, "HOT", 20)
+    found = simhash.links(frame).collect()
+    assert {tuple(sorted((r.u % 2**64, r.v % 2**64))) for r in found} <= set(pairs) and len(found) < len(pairs) / 3
+    for r in found:
+        a, b = find(r.u % 2**64), find(r.v % 2**64)
+        assert a == b
+    again = {f: f for f in fps}
+
+    def look(x):
+        while again[x] != x:
+            x = again[x]
+        return x
+
+    for r in found:
+        again[look(r.v % 2**64)] = look(r.u % 2**64)
+    assert sorted(Counter(look(f) for f in fps).values()) == sorted(want.values()) and len(want) > 3
 
 
 def test_one_of_each(spark):
