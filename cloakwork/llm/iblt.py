@@ -1,7 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of a text's paragraphs.
 
-A paragraph is a line, cut further behind the ends of sentences; its digest is XXH64 (with the number of the repeat, so
-repeats count). Each digest is added to one cell in each third of the sketch: a count, the sum of digests and the sum of
+A paragraph is a line, cut further behind the ends of sentences; its digest is 64 bits of XXH3 (with the number of the repeat,
+so repeats count). Each digest is added to one cell in each third of the sketch: a count, the sum of digests and the sum of
 check values, both modulo 2**64. Sketches of two versions subtract cell by cell; cells left with a single digest give it
 back and are peeled until the sketch is empty, which recovers just the digests that differ. Where peeling stops early,
 both sketches are made again with four times the cells.
@@ -11,15 +11,16 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from cloakwork.llm.common import table
+from cloakwork.llm.common import partitions, table
 
 CELLS = 24
 GROWTH = 4
@@ -141,27 +142,39 @@ def likeness(a: np.ndarray, b: np.ndarray, apart: tuple[np.ndarray, np.ndarray])
     return 1.0 if not total else 1.0 - (len(apart[0]) + len(apart[1])) / total
 
 
+def _bucket(cuts: list[int]) -> Callable[[Column], Column]:
+    """A function of a key column: how many of the sorted cuts are at most the key, found by bisection."""
+    edges = np.array(cuts, np.int64)
+
+    @F.arrow_udf("int")
+    def run(keys: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(edges, keys.to_numpy(zero_copy_only=False), side="right").astype(np.int32))
+
+    return run
+
+
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, text, bucket, extra): rows dealt into ranges of the key and sorted downwards in each, so that the next row
-    in a task's stream of one bucket is the next document. The first document of the range below comes last in each
+    """(key, text, bucket, extra): rows dealt into ranges of the key, one range a partition, and sorted downwards in each,
+    so that the next row in a task's stream is the next document. The first document of the range below comes last in each
     range, marked extra; below the lowest range comes the highest document. Equal keys are ordered by text, null keys
-    are below all others. Texts move once."""
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rank = F.coalesce(F.col("key"), F.lit(-(2**63)))
-    parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    are below all others. Texts move once. The key is an integer; another type is an error.
+    """
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise TypeError(f"{key} must be an integer to have a next document")
+    rank = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))
+    rows = docs.select(F.col(key).cast("long").alias("key"), rank.alias("rank"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    parts = max(2, partitions(docs.sparkSession))
     cuts = docs.select(F.col(key).cast("double").alias("k")).approxQuantile("k", [i / parts for i in range(1, parts)], 0.2 / parts)
     cuts = sorted({int(c) for c in cuts})
-    bucket = F.lit(0)
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= rank)) if cuts else bucket
-    tops = docs.select(F.col(key).cast("long").alias("key")).groupBy(bucket.alias("b")).agg(F.max("key").alias("top")).orderBy("b").collect()
+    bucket = _bucket(cuts)
+    tops = docs.select(rank.alias("rank")).select("rank", bucket("rank").alias("b")).groupBy("b").agg(F.max("rank").alias("top")).orderBy("b").collect()
     above = [tops[i + 1].b if i + 1 < len(tops) else tops[0].b for i in range(len(tops))]
-    bring = {t.top if t.top is not None else -(2**63): b for t, b in zip(tops, above)}
-    rows = rows.withColumn("bucket", bucket)
-    to = F.element_at(F.create_map(*[F.lit(x).cast(t) for k, b in bring.items() for x, t in ((k, "long"), (b, "int"))]), rank) if bring else F.lit(None).cast("int")
+    bring = docs.sparkSession.createDataFrame([(t.top, b) for t, b in zip(tops, above)], "top long, to int")  # as many as there are ranges
+    rows = rows.withColumn("bucket", bucket("rank")).join(F.broadcast(bring), F.col("rank") == F.col("top"), "left")
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("extra"))
-    also = F.when(to.isNotNull(), F.array(own, F.struct(to.alias("bucket"), F.lit(1).alias("extra")))).otherwise(F.array(own))
+    also = F.when(F.col("to").isNotNull(), F.array(own, F.struct(F.col("to").alias("bucket"), F.lit(1).alias("extra")))).otherwise(F.array(own))
     dealt = rows.select("key", "text", F.explode(also).alias("x")).select("key", "text", "x.bucket", "x.extra")
-    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "extra", F.col("key").desc_nulls_last(), "text")
+    return dealt.repartitionById(parts, "bucket").sortWithinPartitions("bucket", "extra", F.col("key").desc_nulls_last(), "text")
 
 
 def edited(text: str, following: str) -> str:
