@@ -15,11 +15,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cloakwork.llm.common import cut, look_up, table, upper_to_lower
+from cloakwork.llm.common import cut, dealt, look_up, table, upper_to_lower
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 ORDER = 3
 START, END = "\x02", "\x03"
+#: The most grams of a model that is broadcast: some tens of megabytes.
+MOST_GRAMS = 200_000
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -81,7 +83,7 @@ def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules:
     rows = rows.select("key", "host", "path", rule.alias("rule"), verdict.alias("ruled"), F.concat("host", "path").alias("s"))
     rows = rows.withColumns({"s1": F.xxhash64("s"), "s2": F.xxhash64(F.lit("2"), "s")})
     texts = rows.groupBy("s1", "s2", "s", "ruled").agg(F.count("*").alias("n"))
-    texts = cut(texts.withColumn("held", F.pmod("s2", F.lit(5)) == 0))
+    texts = cut(dealt(texts.withColumn("held", F.pmod("s2", F.lit(5)) == 0), "s1", "s2"))
     chars = F.split(F.concat(F.lit(START * ORDER), "s", F.lit(END)), "")
     chars = F.filter(chars, lambda c: c != "")
     long = texts.select("s1", "s2", "ruled", "held", "n", chars.alias("chars"))
@@ -89,8 +91,7 @@ def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules:
     learn = lambda kind: F.sum(F.when((F.col("ruled") == kind) & ~F.col("held"), F.col("n")).otherwise(0))
     counts = cut(placed.groupBy("gram").agg(learn("allow").alias("a"), learn("block").alias("b"), F.count("*").alias("w")))
     model = cut(_estimates(counts).join(counts.select("gram", "w"), "gram"))
-    spots = placed.select("s1", "s2", "ruled", "gram")
-    scored = look_up(spots, model, ["gram"], "w").groupBy("s1", "s2", "ruled").agg(F.avg("llr").alias("score"))
+    scored = _scores(placed.select("s1", "s2", "ruled", "gram"), model)
     scored = scored.withColumnRenamed("ruled", "r").withColumnsRenamed({"s1": "u1", "s2": "u2"})
     scored = texts.join(scored, (F.col("s1") == F.col("u1")) & (F.col("s2") == F.col("u2")) & F.col("ruled").eqNullSafe(F.col("r")))
     scored = cut(scored.select("s1", "s2", "ruled", "held", "n", "score"))
@@ -101,6 +102,19 @@ def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules:
     return out.withColumn("threshold", F.lit(cutoff))
 
 
+def _scores(spots: DataFrame, model: DataFrame) -> DataFrame:
+    """(s1, s2, ruled, score): the mean over the grams of each URL. spots: one row per gram, those of a URL together.
+
+    A model of at most MOST_GRAMS grams is broadcast, and each task sums up its URLs before anything moves. A larger one
+    meets the grams by a shuffle of both.
+    """
+    if model.limit(MOST_GRAMS + 1).count() <= MOST_GRAMS:
+        met = spots.join(F.broadcast(model.select("gram", "llr")), "gram")
+    else:
+        met = look_up(spots, model, ["gram"], "w")
+    return met.groupBy("s1", "s2", "ruled").agg(F.avg("llr").alias("score"))
+
+
 def _threshold(scored: DataFrame) -> float:
     """Between the means of both classes, nearer to the one that spreads less; on held-out URLs where there are any."""
     w, x = F.col("n"), F.col("score")
