@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ from cloakwork.llm.textgrams import mix, points, word_hashes
 
 BITS = 20
 STEM = 5
-#: The most labelled documents that the model is fitted on, chosen by a hash of their id; and of features of one text.
+#: The most labelled documents that the model is fitted on, chosen by a hash of their id.
 MAX_SAMPLE = 12_000
 CHUNK = 2 << 20
 
@@ -79,7 +80,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", epochs: i
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [(int(y), np.array(x.values.to_numpy(), np.int32)) for b in batches for y, x in zip(b.column(0).to_pylist(), b.column(1))]
-        rows.sort(key=lambda r: (int(mix(np.array([len(r[1]) + r[1][:50].sum(dtype=np.int64)], np.uint64))[0]), r[0]))
+        rows.sort(key=lambda r: (xxhash.xxh3_128_digest(r[1].tobytes()), r[0]))  # whatever the order of arrival
         model = Ftrl()
         for _ in range(epochs):
             for y, at in rows:
@@ -117,9 +118,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], key: str
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", limit: int = MAX_SAMPLE) -> DataFrame:
-    """(text, label) of at most `limit` labelled documents, those with the least hashes of their id."""
-    some = labels.filter(F.col(label).isNotNull()).select(F.col(key).alias("k"), F.col(label).alias("label")).dropDuplicates(["k"])
-    some = some.orderBy(F.xxhash64("k"), "label").limit(limit)
+    """(text, label) of at most `limit` labelled documents, those with the least hashes of their id.
+
+    A document with several labels has the greatest; rows with one id share its label; null ids and labels are left out.
+    """
+    some = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).alias("label"))
+    some = some.orderBy(F.xxhash64("k"), "k").limit(limit)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     return rows.join(F.broadcast(some), F.col("key") == F.col("k")).select("text", "label")
 
