@@ -114,7 +114,7 @@ class PieceCodec:
     def merge(self, symbols: np.ndarray, lengths: np.ndarray, one_at_a_time: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Symbols and lengths of the words after all merges. lengths: of each word, 1 or more."""
         word = np.repeat(np.arange(len(lengths)), lengths)
-        done_sym, done_word, again = [], [], []
+        done_sym, done_word, again = [symbols[:0]], [word[:0]], []
         while len(symbols):
             same = np.empty(len(symbols), bool)
             same[-1] = False
