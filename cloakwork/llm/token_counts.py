@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cloakwork.llm.common import cut, table
 from cloakwork.llm.pieces import chunked, codec, model_path
 
-BLOCK = 1024
+BLOCK = 64
 
 
 def encoded_lengths(docs: DataFrame, text: str = "text", by: tuple[str, ...] = (), model: str | None = None) -> DataFrame:
@@ -89,5 +89,16 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(encoded_lengths(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op9_token_counts": op9_token_counts}
+LIMITS, SHARES = [2**k for k in range(6, 18)], [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]
+
+
+def token_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(kind, at, n, total): from the histogram, for context limits the documents cut and the tokens left, and quantiles."""
+    histogram = cut(op9_token_counts(spark, sf_dir))
+    limits = at_limits(histogram, LIMITS).select(F.lit("limit").alias("kind"), F.col("context_limit").cast("double").alias("at"), F.col("docs_cut").alias("n"), F.col("truncated_total").alias("total"))
+    shares = quantiles(histogram, SHARES).select(F.lit("quantile").alias("kind"), F.col("share").alias("at"), F.col("n_tokens").alias("n"), F.lit(None).cast("long").alias("total"))
+    return limits.unionByName(shares)
+
+
+QUERIES = {"op9_token_counts": op9_token_counts, "token_limits": token_limits}
 ORACLES: dict[str, str] = {}
