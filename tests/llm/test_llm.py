@@ -197,6 +197,24 @@ def test_fingerprints_of_neighbours(spark, empty):
     assert len(edges) == len(EDGES) and len({r.fingerprint for r in edges if r.doc_id in (1, None)}) == 1
     assert iblt.fingerprints(empty).count() == 0
     assert iblt.fingerprints(docs(spark, [(1, "alone")])).first().near_next == 1.0
+    with pytest.raises(TypeError):
+        iblt.fingerprints(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
+def test_neighbours_meet_whatever_the_ranges(spark):
+    """Every row has its next one, with many more ranges than documents, repeated and negative keys, and nulls."""
+    keys = [5, 5, 5, -3, 0, 2**60, None, None, 17]
+    rows = [(k, f"t{i}") for i, k in enumerate(keys)]
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    want = Counter((k, hashlib.sha256((t[:2] + nxt[:0] if len(t) < 3 else t).encode()).hexdigest()) for (k, t), (_, nxt) in zip(order, order[1:] + order[:1]))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("3", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = iblt.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+            assert Counter((r.doc_id, r.edited_sha256) for r in got) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 # --- 3 ---
@@ -240,6 +258,31 @@ def test_url_scores_equal_plain_loops(spark):
         assert (r.rule, r.verdict if r.rule else None) == (max(rules)[1:] if rules else (None, None))
 
 
+def test_url_verdicts_and_threshold_equal_plain_loops(spark, monkeypatch):
+    """Threshold from the means and spreads of held-out ruled URLs, verdicts from it; by a broadcast model and by a shuffle."""
+    pages = spark.read.parquet(f"{DATA.replace('sf0.001', 'sf0.1')}/pages.parquet")
+    pages = pages.union(pages.limit(9)).select("page_id", "url")
+    got = sorted(map(tuple, url_filter.judge_urls(pages).collect()), key=str)
+    rows = [dict(zip(("id", "host", "path", "rule", "verdict", "score", "threshold"), r)) for r in got]
+    texts = Counter((r["host"] + r["path"], r["verdict"] if r["rule"] else None) for r in rows)
+    held = {r.s: r.h for r in spark.createDataFrame([(t,) for t, _ in texts], "s string").select("s", (F.pmod(F.xxhash64(F.lit("2"), "s"), F.lit(5)) == 0).alias("h")).collect()}
+    score = {r["host"] + r["path"]: r["score"] for r in rows}
+    spread = {}
+    for kind in ("allow", "block"):
+        x = np.repeat([score[t] for t, v in texts if v == kind and held[t]], [n for (t, v), n in texts.items() if v == kind and held[t]])
+        spread[kind] = x.mean(), x.std()
+    (a, sa), (b, sb) = spread["allow"], spread["block"]
+    cutoff = (a * sb + b * sa) / (sa + sb)
+    assert a > cutoff > b and {round(r["threshold"], 9) for r in rows} == {round(cutoff, 9)}
+    free = [r for r in rows if not r["rule"]]
+    assert len(free) > 10 and all((r["verdict"] == "allow") == (r["score"] >= cutoff) for r in free)
+    right = [r["verdict"] == ("allow" if r["score"] >= cutoff else "block") for r in rows if r["rule"] and held[r["host"] + r["path"]]]
+    assert np.mean(right) > 0.8
+    monkeypatch.setattr(url_filter, "MOST_GRAMS", 0)
+    again = sorted(map(tuple, url_filter.judge_urls(pages).collect()), key=str)
+    assert [r[:5] for r in again] == [r[:5] for r in got] and np.allclose([r[5] for r in again], [r[5] for r in got])
+
+
 def test_url_edges(spark):
     rows = [(1, None), (2, ""), (None, "no scheme"), (3, "HTTP://A.Example.NET/en/x?y#z"), (3, "HTTP://A.Example.NET/en/x?y#z"), (4, "x://net"), (5, "x://net/"), (6, "x://a://b/c"), (7, "x://h/" + "a" * 5000), (8, "http://notexample.net/en/")]
     table = spark.createDataFrame([(i, u, "c") for i, u in rows], "page_id long, url string, s1 string")
@@ -272,6 +315,63 @@ def test_toxicity(spark, empty):
     assert nothing[2] == 0 and len(nothing[0]) == 0 and toxicity.score(docs(spark, [(1, "a")]), nothing).first().score == 0.5
 
 
+def test_ftrl_equals_a_plain_loop():
+    """Each coordinate by itself, in dictionaries; the L1 penalty leaves few weights."""
+    rng = random.Random(15)
+    rows = [(sorted(rng.sample(range(60), rng.randrange(1, 12))), rng.randrange(2)) for _ in range(300)]
+    rows = [(x + [61] if y else x, y) for x, y in rows]
+    model = toxicity.Ftrl()
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        l1 = 0.0 if i == "bias" else model.l1
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - np.sign(z[i]) * l1) / ((model.beta + n[i] ** 0.5) / model.alpha + model.l2)
+
+    for x, y in rows:
+        model.learn(np.array(x), y)
+        on = [*x, "bias"]
+        w = {i: weight(i) for i in on}
+        g = (1 / (1 + np.exp(-sum(w.values()))) - y) * (model.positive if y else 1.0)
+        for i in on:
+            sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / model.alpha
+            z[i] += g - sigma * w[i]
+            n[i] += g * g
+    got = model.weights()
+    assert got[-1] == pytest.approx(weight("bias"), abs=1e-9)
+    assert np.allclose(got[:62], [weight(i) for i in range(62)], atol=1e-9) and not got[62:-1].any()
+    assert got[61] > 0.5 and np.count_nonzero(got[:60]) < 45
+
+
+def test_toxicity_equals_a_plain_loop(spark):
+    """The fitted model and its scores, by loops over the same features in the same order; whatever the partitions are."""
+    rng = random.Random(16)
+    rows = [(make_text(rng, 12) + (" rotten" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(90)]
+    at, w, bias = toxicity.fit(spark.createDataFrame(rows, "text string, label int"))
+    again = toxicity.fit(spark.createDataFrame(rows[::-1], "text string, label int").repartition(7))
+    assert (at == again[0]).all() and (w == again[1]).all() and bias == again[2]
+    seen = [(np.unique(toxicity.features([t])[1]).astype(np.int32), y) for t, y in rows]
+    seen.sort(key=lambda r: (xxhash.xxh3_128_digest(r[0].tobytes()), r[1]))
+    model = toxicity.Ftrl()
+    for _ in range(5):
+        for x, y in seen:
+            model.learn(x, y)
+    assert np.allclose(model.weights(at), w) and np.count_nonzero(model.weights()[:-1]) == len(at)
+    table = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    known = dict(zip(at.tolist(), w.tolist()))
+    for r in toxicity.score(table, (at, w, bias)).collect():
+        total = bias + sum(known.get(i, 0.0) for i in set(toxicity.features([rows[r.doc_id][0]])[1].tolist()))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+def test_labels_that_clash(spark):
+    table = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (3, "e")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (None, 1), (3, None), (9, 1)], "doc_id long, toxic int")
+    assert sorted(map(tuple, toxicity.sample_labelled(table, labels, "toxic").collect())) == [("a", 1), ("b", 1), ("c", 0)]
+    assert toxicity.sample_labelled(table, labels, "toxic", limit=1).count() >= 1
+
+
 def test_held_out_remainders(spark):
     from cloakwork.llm.common import crc_mod
 
@@ -293,6 +393,62 @@ def test_language_on_held_out_documents(spark):
     assert len(got) > 30 and np.mean([r.lang == r.lang_pred for r in got]) > 0.95 and all(0 <= r.score <= 1 for r in got)
 
 
+def test_votes_equal_plain_loops():
+    """Families duel first, then the languages of the winner: votes counted one by one, and the least chance of its duels."""
+    rng = np.random.default_rng(3)
+    langs = ["de", "en", "es", "fr", "it", "nl", "xx"]
+    machines = {}
+    families = sorted({language.family_of(x) for x in langs})
+    for group, names in [("", families), *[(f, [x for x in langs if language.family_of(x) == f]) for f in families]]:
+        for i, a in enumerate(names):
+            for b in names[i + 1 :]:
+                machines[group, a, b] = np.append(rng.normal(0, 3, language.BUCKETS), 0.01)
+    model = language.Model(machines, langs)
+    texts = ["".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyz éß", k=12)) for i in range(60)]
+    x, _ = language.vectors(texts)
+
+    def duel(v, group, names):
+        votes, total, chance = ({n: 0.0 for n in names} for _ in range(3))
+        chance = {n: 1.0 for n in names}
+        for (g, a, b), w in machines.items():
+            if g == group:
+                m = float(v @ w[:-1].astype(np.float32) + np.float32(w[-1]))
+                votes[a if m >= 0 else b] += 1
+                total[a] += m
+                total[b] -= m
+                p = 1 / (1 + np.exp(-np.clip(3 * m, -30, 30)))
+                chance[a], chance[b] = min(chance[a], p), min(chance[b], 1 - p)
+        best = max(names, key=lambda n: votes[n] + 1e-3 * np.tanh(total[n]))
+        return best, chance[best]
+
+    got = list(zip(*model.predict(texts)))
+    seen = set()
+    for v, (lang, score) in zip(x, got):
+        family, sure = duel(v, "", families)
+        want, chance = duel(v, family, [n for n in langs if language.family_of(n) == family])
+        assert lang == want and score == pytest.approx(sure * chance, rel=1e-3, abs=1e-6)
+        seen.add(lang)
+    assert len(seen) > 3
+
+
+def test_svm_meets_its_optimality_conditions():
+    """The machine's loss can't be made smaller along any coordinate, and both classes weigh the same."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(80, 6)).astype(np.float32)
+    y = np.where(x @ np.array([1, -2, 0.5, 0, 0, 1]) + 0.3 * rng.normal(size=80) > 0.8, 1.0, -1.0)
+    w = language.svm(x, y, epochs=400)
+    cost = np.where(y > 0, len(y) / (2 * (y > 0).sum()), len(y) / (2 * (y < 0).sum())) * 8.0
+
+    def loss(v):
+        return 0.5 * (v**2).sum() + (cost * np.maximum(0, 1 - y * (x @ v[:-1] + v[-1])) ** 2).sum()
+
+    for i in range(len(w)):
+        for step in (-0.02, 0.02):
+            moved = w.copy()
+            moved[i] += step
+            assert loss(moved) > loss(w)
+
+
 def test_language_edges(spark, empty):
     model = language.Model({("", "a", "b"): np.append(np.zeros(language.BUCKETS), 1.0)}, ["a", "b"])
     got = {r.doc_id: r.lang_pred for r in language.predict(docs(spark, [*EDGES, (8, "123 !?")]), model).filter("doc_id is not null").collect()}
@@ -475,6 +631,31 @@ def test_merging_all_at_once_equals_one_at_a_time():
     assert (fast[0] == slow[0]).all() and (fast[1] == slow[1]).all()
 
 
+def test_all_words_of_a_batch_encoded_again(monkeypatch):
+    """If all at once is wrong for every word, nothing is done before the second way."""
+    codec = pieces.PieceCodec(pieces.model_path())
+    words = ["thethe", "inin", "a"]
+    lengths = np.array(list(map(len, words)))
+    symbols = codec.char_symbol[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
+    codec._input = symbols
+    want = codec.merge(symbols, lengths, True)
+    monkeypatch.setattr(codec, "_too_early", lambda symbols, word, best, hit, merged: np.unique(word))
+    for n in (1, 2):
+        codec._input = symbols[: lengths[:n].sum()]
+        got = codec.merge(codec._input, lengths[:n])
+        assert (got[1] == want[1][:n]).all() and (got[0] == want[0][: want[1][:n].sum()]).all()
+
+
+def test_token_limits(spark):
+    one = pieces.PieceCodec(pieces.model_path())
+    sizes = sorted(len(one.encode(r.text or "")) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect())
+    for r in token_counts.token_limits(spark, DATA).collect():
+        if r.kind == "limit":
+            assert (r.n, r.total) == (sum(s > r.at for s in sizes), sum(min(s, r.at) for s in sizes))
+        else:
+            assert r.n == sizes[max(0, int(np.ceil(r.at * len(sizes) - 1e-9)) - 1)] and r.total is None
+
+
 def test_length_histogram(spark):
     rng = random.Random(10)
     sizes = [rng.choice([1, 2, 2, rng.randrange(5000)]) for _ in range(500)]
@@ -518,8 +699,29 @@ def test_chat_round_trip(spark):
     assert chat_format.format_chats(table.limit(0)).count() == 0
 
 
+def test_machine_and_marks(spark):
+    template = chat_format.Template()
+    assert chat_format.first_fault(["system", "user", "assistant", "user", "assistant"], template) is None
+    for roles, at in ((["assistant"], 0), (["user", "user"], 1), (["user", "system"], 1), (["system"], 1), ([], 0), (["user", "assistant", "assistant"], 2)):
+        assert chat_format.first_fault(roles, template) == at
+    tools = chat_format.Template(moves={"begin": {"user": "asked"}, "asked": {"assistant": "done", "call": "called"}, "called": {"result": "asked"}}, final=("done",))
+    assert chat_format.first_fault(["user", "call", "result", "assistant"], tools) is None and chat_format.first_fault(["user", "result"], tools) == 1
+    for wrong in ({"start": "[INST]"}, {"end": "</s>"}, {"end": "<|im_start|>"}, {"separator": ""}, {"separator": " "}):
+        with pytest.raises(ValueError):
+            chat_format.Template(**wrong)
+
+
+def test_a_conversation_of_the_added_ones_number(spark, tmp_path):
+    spark.createDataFrame([(-1, 0, "user", "x"), (3, 0, "user", None)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = sorted((r.conv_id, r.n_turns, r.loss_chars) for r in chat_format.op8_chat_format(spark, str(tmp_path)).collect())
+    assert got == [(-1, 1, 0), (-1, 2, len(chat_format.PROBE)), (3, 1, 0)]
+
+
 # --- 10 ---
-def test_line_dedup(spark, empty):
+@pytest.mark.parametrize("most", [5000, 0])
+def test_line_dedup(spark, empty, monkeypatch, most):
+    """Cleaned in place, and by joins."""
+    monkeypatch.setattr(line_dedup, "MOST_IN_PLACE", most)
     rng = random.Random(12)
     pool = ["Share this", " share THIS\t", "É", "é", "", "  ", "ok", "rare"]
     rows = [(i, "\n".join(rng.choices(pool, weights=[3, 2, 2, 1, 2, 1, 2, 0.1], k=rng.randrange(6)))) for i in range(40)] + EDGES
