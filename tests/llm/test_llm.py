@@ -822,6 +822,27 @@ def test_similar_texts_with_one_set_and_several_fingerprints(spark):
     assert sorted(r.doc_id for r in similar.one_of_each_similar(table).collect()) == [10 * g + 1 for g in range(30)]
 
 
+def test_leading_bits_never_hide_what_sets_share(monkeypatch):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(similar, "_SMALL", 300)
+    for n, m, both in ((0, 0, 0), (1, 1, 1), (40, 45, 38), (290, 310, 280), (500, 520, 400), (300, 301, 0)):
+        shared = rng.integers(0, 2**64, both, np.uint64)
+        a, b = (np.unique(np.concatenate([shared, rng.integers(0, 2**64, k - both, np.uint64)])) for k in (n, m))
+        found = similar.most_common(similar.brief(a), len(a), similar.brief(b), len(b))
+        assert both <= found <= both + 12
+
+
+def test_similar_rows_without_keys_and_repeated_rows(spark):
+    """Null keys beside others, and rows that repeat: a row for each, whatever text a key is the least of."""
+    rng = random.Random(14)
+    base = make_text(rng, 300).split()
+    near = lambda: " ".join("x" if rng.random() < 0.01 else w for w in base)
+    texts = [near() for _ in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[2]), (7, make_text(rng, 80)), (5, texts[3]), (None, make_text(rng, 90)), (9, texts[4]), (9, texts[5])]
+    got = Counter(map(tuple, similar.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == Counter({(None, 5): 2, (7, 5): 2, (7, 7): 1, (5, 5): 1, (None, None): 1, (9, 5): 2})
+
+
 def test_similar_across_components(spark):
     """Every pair of similar sets in different components is listed, and none of the many that share a passage only."""
     rng, sets = random.Random(5), []
