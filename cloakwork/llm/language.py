@@ -215,12 +215,15 @@ def sample(docs: DataFrame, key: str = "doc_id", lang: str = "lang", text: str =
     """(lang, text) of documents with a language and outside the held-out quarter, by hash of their id.
 
     The least `limit` hashes of all, and the least `each` of every language, so that a rare one is learnt at any size.
+    (Of a language whose rows repeat each id more than eight times they may be fewer than `each`.)
     """
     able = docs.filter(F.col(lang).isNotNull() & (crc_mod(F.col(key), 4) != 2))
     first = able.select(F.col(key).alias("k")).distinct().orderBy(F.xxhash64("k"), "k").limit(limit)
-    place = F.dense_rank().over(Window.partitionBy("l").orderBy("h", "k"))  # only `each` of a language leave a task
-    rare = able.select(F.col(lang).alias("l"), F.col(key).alias("k"), F.xxhash64(F.col(key)).alias("h")).withColumn("place", place).filter(F.col("place") <= each)
-    some = first.union(rare.select("k")).distinct()
+    ids = able.select(F.col(lang).alias("l"), F.col(key).alias("k"), F.xxhash64(F.col(key)).alias("h"))
+    sizes = ids.groupBy(F.col("l").alias("of")).agg(F.count("*").alias("rows"))  # as many as there are languages
+    near = ids.join(F.broadcast(sizes), F.col("l") == F.col("of")).filter(F.col("h") / 2.0**64 + 0.5 < F.lit(8.0 * each) / F.col("rows"))
+    place = F.dense_rank().over(Window.partitionBy("l").orderBy("h", "k"))  # among some eight times as many as are taken
+    some = first.union(near.withColumn("place", place).filter(F.col("place") <= each).select("k")).distinct()
     rows = able.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     return rows.join(F.broadcast(some), F.col("key") == F.col("k"), "left_semi").select("lang", "text")
 
