@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cloakwork.llm.common import crc_mod, split_by_bytes, table
+from cloakwork.llm.common import crc_mod, least_hashed, split_by_bytes, table
 from cloakwork.llm.textgrams import is_letter, mix, points
 
 BUCKETS = 1 << 12
@@ -205,7 +205,7 @@ def least_score(docs: DataFrame, model: Model, key: str = "doc_id", lang: str =
     language stays well below the scores that right answers have on documents the machines have not seen.
     """
     able = docs.filter(F.col(lang).isNotNull() & (crc_mod(F.col(key), 4) == 2))
-    some = able.select(F.col(key).alias("k")).distinct().orderBy(F.xxhash64("k"), "k").limit(limit)
+    some = least_hashed(able.select(F.col(key).alias("k")).distinct(), limit)
     held = able.join(F.broadcast(some), F.col(key) == F.col("k"), "left_semi").select(F.col(lang).cast("string").alias("lang"), text)
     right = predict(held, model, "lang", text).filter(F.col("lang") == F.col("lang_pred"))
     return SHARE * (right.agg(F.percentile("score", F.lit(0.01))).first()[0] or 0.0)
@@ -218,7 +218,7 @@ def sample(docs: DataFrame, key: str = "doc_id", lang: str = "lang", text: str =
     (Of a language whose rows repeat each id more than eight times they may be fewer than `each`.)
     """
     able = docs.filter(F.col(lang).isNotNull() & (crc_mod(F.col(key), 4) != 2))
-    first = able.select(F.col(key).alias("k")).distinct().orderBy(F.xxhash64("k"), "k").limit(limit)
+    first = least_hashed(able.select(F.col(key).alias("k")).distinct(), limit)
     ids = able.select(F.col(lang).alias("l"), F.col(key).alias("k"), F.xxhash64(F.col(key)).alias("h"))
     sizes = ids.groupBy(F.col("l").alias("of")).agg(F.count("*").alias("rows"))  # as many as there are languages
     near = ids.join(F.broadcast(sizes), F.col("l") == F.col("of")).filter(F.col("h") / 2.0**64 + 0.5 < F.lit(8.0 * each) / F.col("rows"))

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakwork.llm.common import crc_mod, table
+from cloakwork.llm.common import crc_mod, least_hashed, table
 from cloakwork.llm.pieces import chunked
 from cloakwork.llm.textgrams import mix, points, word_hashes
 
@@ -123,7 +123,7 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, key: str = "
     A document with several labels has the greatest; rows with one id share its label; null ids and labels are left out.
     """
     some = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).alias("label"))
-    some = some.orderBy(F.xxhash64("k"), "k").limit(limit)
+    some = least_hashed(some, limit)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     return rows.join(F.broadcast(some), F.col("key") == F.col("k")).select("text", "label")
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from cloakwork.llm import chat_format, decontaminate, iblt, language, line_dedup, pieces, similar, simhash, token_counts, toxicity, url_filter
-from cloakwork.llm.common import look_up
+from cloakwork.llm.common import least_hashed, look_up
 from conftest import DATA
 
 CLASH = "key string, fp int, pos int, t string, d int, row int, text_ string, h1 int, found boolean, n_lines string"
@@ -291,6 +291,12 @@ def test_url_edges(spark):
     assert url_filter.judge_urls(table.limit(0)).count() == 0
 
 
+def test_least_hashes(spark):
+    keys = spark.range(3000).select(F.col("id").alias("k"))
+    want = [r.k for r in keys.orderBy(F.xxhash64("k")).limit(40).collect()]
+    assert sorted(r.k for r in least_hashed(keys, 40).collect()) == sorted(want) and least_hashed(keys.limit(7), 40).count() == 7
+
+
 def test_look_up_with_hot_keys(spark):
     big = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).alias("k"))
     small = big.groupBy("k").agg(F.count("*").alias("w"), F.max("id").alias("m")).filter("k % 2 = 1")
