@@ -94,7 +94,8 @@ def pairs_for(names: DataFrame, mapping: DataFrame, name: str = "name", most: in
 
 
 def export_batch(docs: DataFrame, mapping: DataFrame, folder: str, password: str, mapping_name: str = "mapping.json", writers: dict[str, docx.Writer] | None = None, batch_id: str | None = None) -> DataFrame:
-    """The queue after its scanned files were rewritten into `folder`, with target, n_replaced and warnings. Runs at once.
+    """The queue, without content, after its scanned files were rewritten into `folder`, with target, n_replaced and
+    warnings. Runs at once.
 
     Files that wait, are scanned now or have failed are passed over. A name that the folder has, or that an earlier file
     of the queue takes, gets _1, _2, ...; a file that fails is marked, and the others go on. The sealed mapping is
@@ -123,6 +124,6 @@ def export_batch(docs: DataFrame, mapping: DataFrame, folder: str, password: str
     after = queue.after_export(docs.join(done, F.col("path") == F.col("_path"), "left"))
     target = F.when(F.col("exported"), F.col("target"))
     error = F.coalesce("export_error", "error")
-    return cut(after.select(*[c for c in docs.columns if c != "error"], error.alias("error"), target.alias("target"), "n_replaced", "warnings"))
+    return cut(after.select(*[c for c in docs.columns if c not in ("error", "content")], error.alias("error"), target.alias("target"), "n_replaced", "warnings"))
 
 
