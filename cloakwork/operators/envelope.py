@@ -30,7 +30,8 @@ MOST_ITEMS = 1_000_000
 
 
 def _head(manifest: list[tuple[str, str]], batch_id: str | None, created_at: str | None) -> list[Column]:
-    docs = F.array(*[F.struct(F.lit(f).alias("file"), F.lit(h).alias("sha256")) for f, h in manifest]).cast("array<struct<file:string,sha256:string>>")
+    listed = json.dumps([{"file": f, "sha256": h} for f, h in manifest], ensure_ascii=False)  # one literal, however many files
+    docs = F.from_json(F.lit(listed), "array<struct<file:string,sha256:string>>")
     made = created_at or datetime.now(timezone.utc).isoformat()
     return [F.lit(FORMAT_VERSION).alias("version"), F.lit(batch_id or str(uuid.uuid4())).alias("batch_id"), F.lit(made).alias("created_at"), docs.alias("doc_manifest")]
 

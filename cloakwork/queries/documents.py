@@ -205,7 +205,8 @@ def _build_docx(s, d):
     body = F.array(F.lit("出借人（甲方）："), F.concat("name", F.lit("，男，手机")), F.col("phone"), F.lit("。"))
     made = F.when(F.col(K) % 5 == 0, F.lit("broken").cast("binary")).when(F.col(K) % 7 == 0, F.concat(F.lit("手机"), "phone").cast("binary")).otherwise(build(body, F.concat(F.lit("微信号：wx_"), F.col(K).cast("string"), F.lit("_a"))))
     status = F.when(F.col(K) % 11 == 0, F.lit(queue.SCANNED)).when(F.col(K) % 3 == 0, F.lit(queue.FAILED)).otherwise(F.lit(queue.PENDING))
-    return rows.select("path", "doc_seq", status.alias("status"), F.when(F.col(K) % 9 == 0, 501).alias("pages"), made.alias("content"))
+    spread = rows.repartition(int(s.conf.get("spark.sql.shuffle.partitions")), K)  # as files would be, not one task's
+    return cut(spread.select("path", "doc_seq", status.alias("status"), F.when(F.col(K) % 9 == 0, 501).alias("pages"), made.alias("content")))
 
 
 _B_SQL = f"q AS (SELECT {K} AS k, {S.NAME} AS name, {S.PHONE} AS phone, concat('c', {txt(K)}, CASE WHEN {K} % 7 = 0 THEN '.pdf' ELSE '.docx' END) AS file, {K} % 11 <> 0 AS waits, {K} % 5 = 0 OR {K} % 7 = 0 AS bad FROM customer)"

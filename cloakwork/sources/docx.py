@@ -58,18 +58,27 @@ def build(runs: list[list[str]], parts: dict[str, list[list[str]]] | None = None
     return out.getvalue()
 
 
+#: Rows, and bytes of files, that a worker gathers before it hands them on.
+_ROWS, _BYTES = 5_000, 16 << 20
+
+
 def read(files: DataFrame) -> DataFrame:
     """(path, para_index, runs, text, error): paragraphs that are not empty; a bad file is one row with its error."""
+    names = ["path", "para_index", "runs", "text", "error"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 try:
-                    found, error = [r for r in paragraphs(bytes(content)) if "".join(r)], None
+                    rows += [(path, k, r, "".join(r), None) for k, r in enumerate(r for r in paragraphs(bytes(content)) if "".join(r))]
                 except Exception as e:  # a bad file is reported, not raised
-                    found, error = [None], f"{type(e).__name__}: {e}"
-                if found:
-                    yield pd.DataFrame({"path": path, "para_index": range(len(found)), "runs": found, "text": [None if r is None else "".join(r) for r in found], "error": error})
+                    rows.append((path, 0, None, None, f"{type(e).__name__}: {e}"))
+                if len(rows) >= _ROWS:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
     return files.select("path", "content").mapInPandas(run, "path string, para_index int, runs array<string>, text string, error string")
 
@@ -144,17 +153,25 @@ def write(files: DataFrame, pairs: DataFrame, writers: dict[str, Writer] | None
     """
     known = {"docx": rewrite_docx, **(writers or {})}
 
+    names = ["path", "content", "n_replaced", "warnings", "error"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, size = [], 0
         for batch in batches:
             for path, kind, content, own in zip(batch["path"], batch["reader"], batch["content"], batch["pairs"]):
                 try:
                     if kind not in known:
                         raise ValueError(f"no writer for {kind}; pass one")
                     new, n, warnings = known[kind](bytes(content), [(p["original"], p["alias"]) for p in (own if own is not None else [])])
-                    row = (path, new, n, warnings, None)
+                    rows.append((path, new, n, warnings, None))
+                    size += len(new)
                 except Exception as e:  # a bad file is reported, not raised
-                    row = (path, None, 0, [], f"{type(e).__name__}: {e}")
-                yield pd.DataFrame([row], columns=["path", "content", "n_replaced", "warnings", "error"])
+                    rows.append((path, None, 0, [], f"{type(e).__name__}: {e}"))
+                if size >= _BYTES or len(rows) >= _ROWS:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
     kind = F.col("reader") if "reader" in files.columns else F.lit("docx")
     met = files.select("path", "content", kind.alias("reader")).join(pairs.select(F.col("path").alias("_p"), "pairs"), F.col("path") == F.col("_p"), "left")

@@ -13,14 +13,14 @@ from cloakwork.operators.queue import base_name, extension
 
 
 def expand(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, length, modified, content): files below the paths, at any depth, sorted; a path that does not exist is
-    passed over, and a path given twice counts once."""
+    """(path, length, modified, content): files below the paths, at any depth; a path that does not exist is passed over,
+    and a path given twice counts once. Their order is that of path; nothing is sorted here, as contents would move."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     there = [p for p in paths if jvm.org.apache.hadoop.fs.Path(p).getFileSystem(conf).exists(jvm.org.apache.hadoop.fs.Path(p))]
     if not there:
         return spark.createDataFrame([], "path string, length long, modified timestamp, content binary")
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(dict.fromkeys(there)))
-    return rows.select("path", "length", F.col("modificationTime").alias("modified"), "content").orderBy("path")
+    return rows.select("path", "length", F.col("modificationTime").alias("modified"), "content")
 
 
 def lines_of(texts: DataFrame, text: str = "text") -> DataFrame:
