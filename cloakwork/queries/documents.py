@@ -158,6 +158,13 @@ SELECT path, NOT (path LIKE '%.txt' OR (path LIKE '%.pdf' AND c = 7)) AS accepte
 FROM p WHERE path <> '/in/d0/c0.docx'""")
 _R.add("s3_route", lambda s, d: files.route(customers(s, d, path=_PATH, scanned=f"{K} % 5 = 0").drop(K).distinct()).groupBy("reader").agg(F.count("*").alias("n")), f"WITH p AS (SELECT DISTINCT {_PATH} AS path, {K} % 5 = 0 AS scanned FROM customer) SELECT CASE WHEN path LIKE '%.docx' THEN 'docx' WHEN path LIKE '%.txt' THEN 'none' WHEN scanned THEN 'pdf_ocr' ELSE 'pdf_text' END AS reader, count(*) AS n FROM p GROUP BY 1")
 _R.add("s5_probe", lambda s, d: files.probe_pages(customers(s, d, file=S.FILE, page_no=f"CAST({K} AS INT)", n_words=f"CASE WHEN {K} % 10 < 5 THEN 0 ELSE CAST({K} % 3 AS INT) END")), f"SELECT {S.FILE} AS file, bool_or(CASE WHEN {K} % 10 < 5 THEN 0 ELSE {K} % 3 END > 0) AS textual, max({K}) AS pages FROM customer GROUP BY 1")
+
+
+def _spread(s, rows):
+    """Rows dealt over tasks by their key, as files would be, not one task's."""
+    return rows.repartition(int(s.conf.get("spark.sql.shuffle.partitions")), K)
+
+
 _PAGES = f"concat('第一行', chr(10), '  ', chr(10), {S.NAME}, chr(12), {S.PHONE})"
 
 
@@ -171,7 +178,7 @@ def _pdf_pages(content: bytes) -> list[dict]:
 def _s6(s, d):
     """Files with a text layer, files whose pages are blank (scanned), broken ones."""
     content = f"CASE CAST({K} % 3 AS INT) WHEN 0 THEN CAST({_PAGES} AS BINARY) WHEN 1 THEN CAST(concat(' ', chr(12)) AS BINARY) ELSE CAST('x' AS BINARY) END"
-    rows = files.text_pages(customers(s, d, path=f"concat('c', {txt(K)})", content=content), _pdf_pages)
+    rows = files.text_pages(_spread(s, customers(s, d, path=f"concat('c', {txt(K)})", content=content)), _pdf_pages)
     return rows.withColumn("para_index", F.coalesce("para_index", F.lit(-1)))
 
 
@@ -205,8 +212,7 @@ def _build_docx(s, d):
     body = F.array(F.lit("出借人（甲方）："), F.concat("name", F.lit("，男，手机")), F.col("phone"), F.lit("。"))
     made = F.when(F.col(K) % 5 == 0, F.lit("broken").cast("binary")).when(F.col(K) % 7 == 0, F.concat(F.lit("手机"), "phone").cast("binary")).otherwise(build(body, F.concat(F.lit("微信号：wx_"), F.col(K).cast("string"), F.lit("_a"))))
     status = F.when(F.col(K) % 11 == 0, F.lit(queue.SCANNED)).when(F.col(K) % 3 == 0, F.lit(queue.FAILED)).otherwise(F.lit(queue.PENDING))
-    spread = rows.repartition(int(s.conf.get("spark.sql.shuffle.partitions")), K)  # as files would be, not one task's
-    return cut(spread.select("path", "doc_seq", status.alias("status"), F.when(F.col(K) % 9 == 0, 501).alias("pages"), made.alias("content")))
+    return cut(_spread(s, rows).select("path", "doc_seq", status.alias("status"), F.when(F.col(K) % 9 == 0, 501).alias("pages"), made.alias("content")))
 
 
 _B_SQL = f"q AS (SELECT {K} AS k, {S.NAME} AS name, {S.PHONE} AS phone, concat('c', {txt(K)}, CASE WHEN {K} % 7 = 0 THEN '.pdf' ELSE '.docx' END) AS file, {K} % 11 <> 0 AS waits, {K} % 5 = 0 OR {K} % 7 = 0 AS bad FROM customer)"

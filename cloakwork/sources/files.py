@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakwork.operators.queue import base_name, extension
@@ -24,7 +24,7 @@ def expand(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def lines_of(texts: DataFrame, text: str = "text") -> DataFrame:
-    """One row per line that is not blank, with para_index counted over these; the reader of text-layer pages."""
+    """One row per line that is not blank, with para_index counted over these."""
     line_ends = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
     kept = F.filter(F.split(text, line_ends, -1), lambda x: x.rlike(r"(?U)[^\s\x1c-\x1f]"))
     rest = [c for c in texts.columns if c != text]
@@ -49,21 +49,38 @@ def read_whole(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("path", base_name(F.col("path")).alias("name"), "text")
 
 
-def by_provider(files: DataFrame, provider: Callable[[bytes], list[dict]], schema: str) -> DataFrame:
+#: Rows, and characters of texts, that a worker gathers over files before it hands them on.
+_ROWS, _CHARS = 10_000, 8 << 20
+
+
+def by_provider(files: DataFrame, provider: Callable[[bytes], list[dict]], schema: str, nothing: str | None = None) -> DataFrame:
     """(path, error, …schema): what a provider (a PDF or OCR library on the executors) reads from each file, row by row of
-    its list; a file that it fails on is one row with the error, and does not stop the others."""
+    its list; a file that it fails on is one row with the error, and does not stop the others. nothing: the error of a
+    file without rows, which else has no row. Each file is read once; rows of many files are handed on together."""
     names = [f.split()[0] for f in schema.split(", ")]
+    frame = lambda rows: pd.DataFrame(rows, columns=["path", "error", *names], dtype=object)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, size = [], 0
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 try:
-                    rows, error = provider(bytes(content)), None
+                    found, error = [tuple(map(r.get, names)) for r in provider(bytes(content))], nothing
                 except Exception as e:  # a bad file is reported, not raised
-                    rows, error = [{}], f"{type(e).__name__}: {e}"
-                for lo in range(0, len(rows), 10_000):
-                    part = rows[lo : lo + 10_000]
-                    yield pd.DataFrame({"path": path, "error": error, **{n: pd.Series([r.get(n) for r in part], dtype=object) for n in names}})
+                    found, error = [], f"{type(e).__name__}: {e}"
+                if not found and error is not None:
+                    rows.append((path, error, *[None] * len(names)))
+                for r in found:
+                    rows.append((path, None, *r))
+                    size += sum(len(v) for v in r if isinstance(v, str))
+                    if len(rows) >= _ROWS or size >= _CHARS:
+                        yield frame(rows)
+                        rows, size = [], 0
+                if len(rows) >= _ROWS:
+                    yield frame(rows)
+                    rows, size = [], 0
+        if rows:
+            yield frame(rows)
 
     return files.select("path", "content").mapInPandas(run, f"path string, error string, {schema}")
 
@@ -72,15 +89,15 @@ def text_pages(files: DataFrame, provider: Callable[[bytes], list[dict]]) -> Dat
     """(path, para_index, text, error): the lines that are not blank of files with a text layer, pages in their order.
 
     provider: content -> list of dicts with page_no and text. A file without any line is an error, as a scanned one is.
+    Lines are cut and counted where the file is read, so nothing is shuffled; they are those of lines_of.
     """
-    pages = by_provider(files, provider, "page_no int, text string")
-    lines = lines_of(pages.filter(F.col("error").isNull()))
-    order = Window.partitionBy("path").orderBy("page_no", "para_index")
-    good = lines.select("path", (F.row_number().over(order) - 1).alias("para_index"), "text", F.lit(None).cast("string").alias("error"))
-    bad = pages.filter(F.col("error").isNotNull()).select("path", F.lit(None).cast("int").alias("para_index"), F.lit(None).cast("string").alias("text"), "error")
-    there = good.select("path").union(bad.select("path")).distinct()
-    empty = files.select("path").join(there, "path", "left_anti")
-    return good.unionByName(bad).unionByName(empty.select("path", F.lit(None).cast("int").alias("para_index"), F.lit(None).cast("string").alias("text"), F.lit("no text layer").alias("error")))
+
+    def read(content: bytes) -> list[dict]:
+        pages = sorted(provider(content), key=lambda p: (p.get("page_no") is not None, p.get("page_no") or 0))
+        lines = (x for p in pages for x in (p.get("text") or "").splitlines() if x.strip())
+        return [{"para_index": i, "text": x} for i, x in enumerate(lines)]
+
+    return by_provider(files, read, "para_index int, text string", "no text layer").select("path", "para_index", "text", "error")
 
 
 def ocr_lines(files: DataFrame, render: Callable[[bytes], Iterable[object]], recognise: Callable[[object], list[tuple]], zoom: float = 200 / 72, chunk: int = 8) -> DataFrame:

@@ -325,6 +325,30 @@ def test_ocr_lines_in_chunks(spark):
     assert [r.error[:10] for r in found if r.path == "b"] == ["ValueError"] and not [r for r in found if r.path == "c"] and not held
 
 
+def test_text_pages_reads_each_file_once(spark, tmp_path):
+    """Many files are read once each and handed on together, without a shuffle; lines are those of lines_of."""
+    odd = "a\r\nb\x0bc\u2028 \u3000\x1dd\x85e"
+    made = {"odd": [(1, "last"), (0, odd), (None, "first")], "blank": [(0, " \n"), (1, None)], "none": [], **{f"p{i}": [(0, str(i))] for i in range(500)}}
+    log = tmp_path / "log"
+
+    def provider(content):
+        with open(log, "a") as f:
+            f.write(content.decode() + "\n")
+        if content == b"bad":
+            raise ValueError("broken")
+        return [{"page_no": n, "text": t} for n, t in made[content.decode()]]
+
+    rows = spark.createDataFrame([(k, k.encode()) for k in [*made, "bad"]], "path string, content binary").coalesce(1)
+    found = files.text_pages(rows, provider)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = found.collect()
+    assert sorted(log.read_text().split()) == sorted([*made, "bad"])
+    assert [(r.para_index, r.text, r.error) for r in got if r.path == "odd"] == list(zip(range(7), ["first", "a", "b", "c", "d", "e", "last"], [None] * 7))
+    assert [r.text for r in files.lines_of(spark.createDataFrame([(odd,)], "text string")).collect()] == ["a", "b", "c", "d", "e"]
+    assert {r.path: (r.para_index, r.text, r.error) for r in got if r.error} == {"blank": (None, None, "no text layer"), "none": (None, None, "no text layer"), "bad": (None, None, "ValueError: broken")}
+    assert {r.path: r.text for r in got if r.path[1:].isdigit()} == {f"p{i}": str(i) for i in range(500)}
+
+
 def test_batch_goes_on_after_failures(spark, tmp_path):
     """A broken file does not stop the scan; a name that is taken gets a number; sources stay as they are."""
     for name, text in (("a.docx", "出借人张三，手机号13812345678。"), ("b.docx", "借款人李四。")):
