@@ -191,7 +191,7 @@ def _s7(s, d):
     """Nine pages or so a file, so that the last chunk is a short one; page 2 has a blank line, which goes."""
     render = lambda content: iter(range(int(content.decode())))
     recognise = lambda page: [([(10, 20), (110, 22), (108, 40), (12, 38)], t, 0.9) for t in ([" "] if page == 2 else []) + [f"p{page}"]]
-    rows = files.ocr_lines(customers(s, d, path=f"concat('c', {txt(K)})", content=f"CAST({txt(f'7 + {K} % 4')} AS BINARY)"), render, recognise, 2.0)
+    rows = files.ocr_lines(_spread(s, customers(s, d, path=f"concat('c', {txt(K)})", content=f"CAST({txt(f'7 + {K} % 4')} AS BINARY)")), render, recognise, 2.0)
     return rows.select("path", "page_no", "line_no", "x0", "y0", "x1", "y1", "text", "error")
 
 

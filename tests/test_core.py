@@ -8,6 +8,7 @@ import zipfile
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -349,6 +350,27 @@ def test_text_pages_reads_each_file_once(spark, tmp_path):
     assert {r.path: r.text for r in got if r.path[1:].isdigit()} == {f"p{i}": str(i) for i in range(500)}
 
 
+def test_provider_rows_of_many_files_go_together(spark, monkeypatch):
+    """Three thousand short files make few tables, and no row is lost where one is handed on."""
+    monkeypatch.setattr(files, "_ROWS", 7)
+    caught = {}
+
+    class Frame:
+        def select(self, *names):
+            return self
+
+        def mapInPandas(self, f, schema):  # the function alone, in this process
+            caught["f"] = f
+
+    files.ocr_lines(Frame(), lambda c: iter(range(int(c))), lambda i: [([(0, 0), (2, 4)], f"p{i}", 0.5)], 2.0)
+    sizes = [str(i % 3).encode() for i in range(3000)] + [b"x", None, b"40"]
+    built = list(caught["f"](iter([pd.DataFrame({"path": [f"f{i}" for i in range(len(sizes))], "content": sizes})])))
+    assert len(built) < 3043 / 7 + 2 and max(map(len, built)) <= 7
+    every = pd.concat(built)
+    assert len(every) == 3000 + 2 + 40 and every["error"].notna().sum() == 2
+    assert every["page_no"][every["path"] == "f3002"].tolist() == list(range(40))
+
+
 def test_batch_goes_on_after_failures(spark, tmp_path):
     """A broken file does not stop the scan; a name that is taken gets a number; sources stay as they are."""
     for name, text in (("a.docx", "出借人张三，手机号13812345678。"), ("b.docx", "借款人李四。")):
