@@ -99,7 +99,8 @@ def export_batch(docs: DataFrame, mapping: DataFrame, folder: str, password: str
 
     Files that wait, are scanned now or have failed are passed over. A name that the folder has, or that an earlier file
     of the queue takes, gets _1, _2, ...; a file that fails is marked, and the others go on. The sealed mapping is
-    written even if all fail; an empty password is an error before anything is written.
+    written even if all fail, in several files of the same batch where it is large (envelope.items_of_files reads them);
+    an empty password is an error before anything is written.
     """
     spark = docs.sparkSession
     if not password:
@@ -116,11 +117,11 @@ def export_batch(docs: DataFrame, mapping: DataFrame, folder: str, password: str
     problem = F.coalesce("error", "_failed")
     done = done.select(F.col("path").alias("_path"), "target", "n_replaced", "warnings", F.when(problem.isNotNull(), F.concat(F.lit("导出失败："), problem)).alias("export_error"))
     sources = docs.filter(F.col("content").isNotNull()).select(queue.base_name(F.col("path")).alias("name"), envelope.sha256_of(F.col("content")).alias("sha"), "doc_seq")
-    manifest = [(r.name, r.sha) for r in sources.orderBy("doc_seq").limit(envelope.MOST_ITEMS + 1).collect()]
-    if len(manifest) > envelope.MOST_ITEMS:
-        raise ValueError("too many files for one mapping file; export them in several batches")
-    sealed = envelope.seal(spark, envelope.mapping_json(mapping, manifest, batch_id).first().json, password)
-    sink.put(folder, mapping_name, envelope.envelope_text(sealed).encode())
+    parts = envelope.mapping_parts(mapping, sources, batch_id)
+    sealed = envelope.seal_parts(parts, mapping_name, password).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    lost = sink.write_files(sealed, folder).filter(F.col("error").isNotNull()).select("error").first()
+    if lost:
+        raise RuntimeError(f"the mapping was not written: {lost.error}")
     after = queue.after_export(docs.join(done, F.col("path") == F.col("_path"), "left"))
     target = F.when(F.col("exported"), F.col("target"))
     error = F.coalesce("export_error", "error")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -238,9 +236,10 @@ def _exported(s, d):
     done = batch.scan_batch(_build_docx(s, d))
     pdf = lambda content, pairs: (content.replace(b"\xe6\x89\x8b", b""), 0, ["a warning"])
     after = batch.export_batch(done.queue, mapping.edit(review.accept_pending(done.mapping), [("custom", "男", "某人")]), folder, "secret-1", writers={"pdf_text": pdf})
-    opened = envelope.load_mapping(envelope.unseal(s, json.loads(s.read.text(f"{folder}/mapping.json", wholetext=True).first().value), "secret-1"))
-    texts = docx.read(files.expand(s, [folder])).groupBy(queue.base_name(F.col("path")).alias("_n")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para_index", "text"))), lambda x: x["text"]), "|").alias("text"))
-    out = after.join(texts, F.col("target") == F.col("_n"), "left").withColumn("n_items", F.lit(len(opened["mappings"])).cast("long"))
+    n_items = envelope.items_of_files(s, folder, "mapping.json", "secret-1").count()
+    written = sink.read_files(after.filter(F.endswith("target", F.lit(".docx"))).select("target"), folder)
+    texts = docx.read(written.select(F.col("target").alias("path"), "content")).groupBy(F.col("path").alias("_n")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para_index", "text"))), lambda x: x["text"]), "|").alias("text"))
+    out = after.join(texts, F.col("target") == F.col("_n"), "left").withColumn("n_items", F.lit(n_items).cast("long"))
     out = cut(out.select(queue.base_name(F.col("path")).alias("file"), "status", "target", F.when(F.endswith("target", F.lit(".docx")), F.col("text")).alias("text"), F.array_join("warnings", ",").alias("warnings"), "n_items"))
     remove(s, folder)
     return out

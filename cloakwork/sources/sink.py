@@ -54,3 +54,29 @@ def write_files(rows: DataFrame, folder: str, name: str = "target", content: str
 
     done = rows.select(F.col(name).cast("string"), F.col(content).cast("binary")).mapInArrow(run, "name string, error string")
     return cut(done).withColumnRenamed("name", name)
+
+
+def read_files(rows: DataFrame, folder: str, name: str = "target") -> DataFrame:
+    """(name, content, error): the files that the rows name below `folder`, read on the executors where the rows are.
+
+    For the folders of write_files; no folder is listed, however many files it has. A file that cannot be read has its error.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = _place(folder)
+        found, size = [], 0
+        for batch in batches:
+            for n in batch.column(0).to_pylist():
+                try:
+                    with system.open_input_stream(f"{base.rstrip('/')}/{n}") as f:
+                        found.append((n, f.read(), None))
+                    size += len(found[-1][1])
+                except Exception as e:  # reported in the row
+                    found.append((n, None, f"{type(e).__name__}: {e}"))
+                if len(found) >= 5_000 or size >= 16 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), (pa.string(), pa.binary(), pa.string()))], names=["name", "content", "error"])
+                    found, size = [], 0
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), (pa.string(), pa.binary(), pa.string()))], names=["name", "content", "error"])
+
+    return rows.select(F.col(name).cast("string")).mapInArrow(run, "name string, content binary, error string").withColumnRenamed("name", name)

@@ -140,6 +140,36 @@ def test_mapping_too_large_for_one_row(spark):
         envelope.items_of_lines(lines.withColumn("json", F.replace("json", F.lit('"1.0"'), F.lit('"2"'))))
 
 
+def test_sealed_mapping_of_any_size(spark, tmp_path, monkeypatch):
+    """An export whose mapping and manifest are beyond one file: several sealed files, opened together or not at all."""
+    monkeypatch.setattr(envelope, "PART_ITEMS", 4)
+    monkeypatch.setattr(envelope, "MOST_ITEMS", 4)
+    monkeypatch.setattr(envelope.mapping_parts, "__defaults__", (None, None, 4))
+    items = [(2 * i, f"原{i}", "phone", "*", i, True, "rule", 0.9, False, ["f"]) for i in range(1, 11)]
+    table = spark.createDataFrame(items[::-1], mapping.SCHEMA)
+    docs = spark.createDataFrame([(f"/in/p{i}.pdf", i, queue.FAILED, b"x%d" % i) for i in range(14)], "path string, doc_seq int, status string, content binary")
+    folder = str(tmp_path / "out")
+    assert batch.export_batch(docs, table, folder, "secret-1").count() == 14
+    names = ["mapping.json", "mapping_1.json", "mapping_2.json", "mapping_3.json"]
+    assert sorted(p.name for p in (tmp_path / "out").glob("*.json")) == names
+    parts = [envelope.load_mapping(envelope.unseal(spark, json.loads((tmp_path / "out" / n).read_text()), "secret-1")) for n in names]
+    assert [[m["id"] for m in p["mappings"]] for p in parts] == [[2, 4, 6, 8], [10, 12, 14, 16], [18, 20], []]
+    assert [d["file"] for p in parts for d in p["doc_manifest"]] == [f"p{i}.pdf" for i in range(14)] and len({p["batch_id"] for p in parts}) == 1
+    got = envelope.items_of_files(spark, folder, "mapping.json", "secret-1").orderBy("id").collect()
+    assert [(r.id, r.original, r.occurrences, r.confidence) for r in got] == [(m[0], m[1], m[4], m[7]) for m in items]
+    with pytest.raises(envelope.WrongPassword):
+        envelope.items_of_files(spark, folder, "mapping.json", "secret-2")
+    kept = (tmp_path / "out" / names[1]).read_text()
+    (tmp_path / "out" / names[1]).write_text((tmp_path / "out" / names[2]).read_text())  # one part twice, one missing
+    with pytest.raises(envelope.WrongPassword):
+        envelope.items_of_files(spark, folder, "mapping.json", "secret-1")
+    (tmp_path / "out" / names[1]).write_text(kept.replace('"data":"', '"data":"AAAA'))
+    with pytest.raises(envelope.WrongPassword):
+        envelope.items_of_files(spark, folder, "mapping.json", "secret-1")
+    batch.export_batch(docs.limit(0), table.limit(0), folder, "secret-1")  # an empty batch has one file
+    assert envelope.items_of_files(spark, folder, "mapping.json", "secret-1").count() == 0
+
+
 def test_unrestored_in_blocks(spark):
     docs = spark.createDataFrame([("a", "甲某与乙某"), ("b", None), ("b", "丙某")], "name string, text string")
     items = spark.createDataFrame([(1, "甲某", "张三", 2, True), (2, "乙某", "李四", 1, None), (3, "丙某", "王五", 3, False), (4, None, "x", 0, True)], "id long, alias string, original string, occurrences long, enabled boolean")
