@@ -2,28 +2,32 @@
 
 A text becomes the square roots of the shares of its hashed character n-grams (one to four letters, words apart), a
 vector of length one. Families compete one against one by linear support vector machines, then the languages of the
-family that wins do. All machines together are one small matrix. They are fitted on a bounded sample of documents.
+family that wins do. All machines together are one small matrix. They are fitted on a bounded sample of documents, or
+on all of them: in groups, each on its own, and then averaged.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import ceil, floor
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cloakwork.llm.common import crc_mod, least_hashed, split_by_bytes, table
+from cloakwork.llm.common import crc_mod, cut, least_hashed, split_by_bytes, table
 from cloakwork.llm.textgrams import is_letter, mix, points
 
 BUCKETS = 1 << 12
-#: The most documents of all languages that the machines are fitted on, chosen by a hash of their id, and those of each
+#: The most documents of all languages that machines are fitted on at a time, chosen by a hash of their id, and those of each
 #: language that are added where these hold fewer of it.
 MAX_SAMPLE, EACH = 6_000, 200
-#: A text is recognised from this part of the score on that all but a hundredth of held-out documents reach; the most of these.
-SHARE, MAX_HELD = 0.65, 2_000
+#: The documents of a group, where all are learnt from: some 50 MB of vectors.
+GROUP = 3_000
+#: A text is recognised from this part of the score on that all but a hundredth of held-out documents reach.
+SHARE = 0.65
 ROWS, CHUNK = 128, 1 << 18
 UNKNOWN = "und"
 #: Families of languages by ISO 639-1 code; a language that is not here is a family of its own.
@@ -64,23 +68,24 @@ def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)).astype(np.float32), lettered
 
 
-def svm(x: np.ndarray, y: np.ndarray, c: float = 8.0, epochs: int = 12) -> np.ndarray:
+def svm(x: np.ndarray, y: np.ndarray, c: float = 8.0, epochs: int = 12, rows: np.ndarray | None = None) -> np.ndarray:
     """Weights and bias of a linear SVM with squared hinge loss, by dual coordinate descent; y is 1 or -1.
 
-    Both classes weigh the same, whatever their numbers.
+    Both classes weigh the same, whatever their numbers. rows: those of x that y is for, in order; else all.
     """
+    rows = np.arange(len(x)) if rows is None else rows
     w, bias = np.zeros(x.shape[1]), 0.0
-    alpha = np.zeros(len(x))
+    alpha = np.zeros(len(rows))
     cost = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum()))) * c
-    norm = (x.astype(np.float64) ** 2).sum(axis=1) + 1 + 0.5 / cost
+    norm = np.einsum("ij,ij->i", x, x, dtype=np.float64)[rows] + 1 + 0.5 / cost  # no copy of x
     order = np.random.default_rng(0)
     for _ in range(epochs):
-        for i in order.permutation(len(x)):
-            g = y[i] * (x[i] @ w + bias) - 1 + alpha[i] * 0.5 / cost[i]
+        for i in order.permutation(len(rows)):
+            g = y[i] * (x[rows[i]] @ w + bias) - 1 + alpha[i] * 0.5 / cost[i]
             new = max(alpha[i] - g / norm[i], 0.0)
             if new != alpha[i]:
                 step = (new - alpha[i]) * y[i]
-                w += step * x[i]
+                w += step * x[rows[i]]
                 bias += step
                 alpha[i] = new
     return np.append(w, bias)
@@ -127,6 +132,44 @@ class Model:
         return lang, score.tolist()
 
 
+#: A machine between two languages or families; of a language that was seen, a row with both names and no weights.
+_MACHINE = "grp string, a string, b string, w binary"
+
+
+def _lettered(langs: pa.Array, texts: list[str]) -> Iterator[pa.RecordBatch]:
+    """(lang, x): vectors of the texts that have a letter, as halves."""
+    for lo in range(0, len(texts), ROWS):
+        x, lettered = vectors(texts[lo : lo + ROWS])
+        keep = np.nonzero(lettered)[0]
+        yield pa.RecordBatch.from_arrays([langs.take(pa.array(lo + keep)), pa.array([v.tobytes() for v in x[keep].astype(np.float16)], pa.binary())], names=["lang", "x"])
+
+
+def _machines(batches: Iterator[pa.RecordBatch]) -> pa.RecordBatch | None:
+    """The machines that the vectors of all batches teach, whatever their order."""
+    rows = sorted((lang, raw) for b in batches for lang, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+    if not rows:
+        return None
+    y = np.array([r[0] for r in rows], object)
+    x = np.empty((len(rows), BUCKETS), np.float32)
+    for i, (_, raw) in enumerate(rows):
+        x[i], rows[i] = np.frombuffer(raw, np.float16), ("", b"")  # let go of as it is copied
+    del rows
+    langs = sorted(set(y))
+    out = [("", lang, lang, b"") for lang in langs]
+    of = np.array([family_of(v) for v in y], object)
+    groups = [("", of, sorted(set(of)))] + [(f, y, [v for v in langs if family_of(v) == f]) for f in sorted(set(of))]
+    for group, names, members in groups:
+        for a, b in combinations(members, 2):
+            at = np.nonzero((names == a) | (names == b))[0]
+            out.append((group, a, b, svm(x, np.where(names[at] == a, 1.0, -1.0), rows=at).tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.string(), pa.string(), pa.string(), pa.binary()))], names=["grp", "a", "b", "w"])
+
+
+def _model(found: DataFrame) -> Model:
+    rows = found.select("grp", "a", "b", "w").collect()
+    return Model({(r.grp, r.a, r.b): np.frombuffer(r.w) for r in sorted(rows, key=lambda r: (r.grp, r.a, r.b)) if r.w}, sorted(r.a for r in rows if not r.w))
+
+
 def fit(rows: DataFrame, lang: str = "lang", text: str = "text") -> Model:
     """The machines learnt from the rows, which the caller keeps to a bounded number; null languages are left out.
 
@@ -135,32 +178,52 @@ def fit(rows: DataFrame, lang: str = "lang", text: str = "text") -> Model:
 
     def vector(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for lo in range(0, len(texts), ROWS):
-                x, lettered = vectors(texts[lo : lo + ROWS])
-                keep = np.nonzero(lettered)[0]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + keep)), pa.array([v.tobytes() for v in x[keep].astype(np.float16)], pa.binary())], names=["lang", "x"])
+            yield from _lettered(batch.column(0), [t or "" for t in batch.column(1).to_pylist()])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((lang, raw) for b in batches for lang, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-        if not rows:
-            return
-        y = np.array([r[0] for r in rows], object)
-        x = np.array([np.frombuffer(r[1], np.float16) for r in rows], np.float32)
-        del rows
-        langs = sorted(set(y))
-        out = [("", lang, lang, b"") for lang in langs]
-        of = np.array([family_of(v) for v in y], object)
-        groups = [("", of, sorted(set(of)))] + [(f, y, [v for v in langs if family_of(v) == f]) for f in sorted(set(of))]
-        for group, names, members in groups:
-            for a, b in combinations(members, 2):
-                at = (names == a) | (names == b)
-                out.append((group, a, b, svm(x[at], np.where(names[at] == a, 1.0, -1.0)).tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.string(), pa.string(), pa.string(), pa.binary()))], names=["grp", "a", "b", "w"])
+        made = _machines(batches)
+        if made is not None:
+            yield made
 
     some = rows.filter(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
-    found = some.mapInArrow(vector, "lang string, x binary").repartition(1).mapInArrow(learn, "grp string, a string, b string, w binary").collect()
-    return Model({(r.grp, r.a, r.b): np.frombuffer(r.w) for r in found if r.w}, sorted(r.a for r in found if not r.w))
+    return _model(some.mapInArrow(vector, "lang string, x binary").repartition(1).mapInArrow(learn, _MACHINE))
+
+
+def groups_of(docs: DataFrame, key: str = "doc_id", lang: str = "lang", text: str = "text", size: int = GROUP, each: int = EACH) -> DataFrame:
+    """(grp, lang, text) of all documents with a language and outside the held-out quarter, in groups of some `size`.
+
+    A document is in one group, by a hash of it. Those of a language too rare to give each group `each` of them are in
+    as many groups as that takes, at most in all.
+    """
+    able = docs.filter(F.col(lang).isNotNull() & (crc_mod(F.col(key), 4) != 2)).select(F.col(key).alias("k"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+    sizes = able.groupBy(F.col("lang").alias("l")).agg(F.count("*").alias("n"))  # as many as there are languages
+    n = max(1, ceil((sizes.agg(F.sum("n")).first()[0] or 0) / size))
+    often = F.least(F.lit(n), F.ceil(F.lit(each * n) / F.col("n"))).cast("int")
+    first = F.pmod(F.xxhash64("k", "text"), F.lit(n))
+    places = F.transform(F.sequence(F.lit(0), F.col("often") - 1), lambda i: F.pmod(F.col("first") + i, F.lit(n)))
+    met = able.join(F.broadcast(sizes.select("l", often.alias("often"))), F.col("lang") == F.col("l")).withColumn("first", first)
+    return met.select(F.explode(places).alias("grp"), "lang", "text")
+
+
+def fit_all(docs: DataFrame, key: str = "doc_id", lang: str = "lang", text: str = "text", size: int = GROUP, each: int = EACH) -> Model:
+    """The machines learnt from all documents with a language and outside the held-out quarter.
+
+    Each group of groups_of fits machines of its own, in one task each; a machine is the mean of those of all groups.
+    One group, in tables of up to `size` such documents, gives what fit gives.
+    """
+
+    def learn(group: pa.Table) -> pa.Table:
+        batch = group.combine_chunks()
+        made = _machines(_lettered(batch.column("lang").combine_chunks(), [t or "" for t in batch.column("text").to_pylist()]))
+        return pa.table({"grp": [], "a": [], "b": [], "w": []}, pa.schema([("grp", pa.string()), ("a", pa.string()), ("b", pa.string()), ("w", pa.binary())])) if made is None else pa.Table.from_batches([made])
+
+    def mean(same: pa.Table) -> pa.Table:
+        weights = sorted(w for w in same.column("w").to_pylist() if w)  # in one order, whatever that of the groups
+        total = sum((np.frombuffer(w) for w in weights), np.zeros(BUCKETS + 1)) / max(1, len(weights))
+        return same.slice(0, 1).set_column(same.column_names.index("w"), "w", pa.array([total.tobytes() if weights else b""], pa.binary()))
+
+    found = groups_of(docs, key, lang, text, size, each).groupBy("grp").applyInArrow(learn, _MACHINE)
+    return _model(found.groupBy("grp", "a", "b").applyInArrow(mean, _MACHINE))
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -198,17 +261,35 @@ def keep_recognised(docs: DataFrame, model: Model, text: str = "text", least: fl
     return docs.mapInArrow(run, docs.schema)
 
 
-def least_score(docs: DataFrame, model: Model, key: str = "doc_id", lang: str = "lang", text: str = "text", limit: int = MAX_HELD) -> float:
-    """The score from which on a text is recognised, by at most `limit` documents of the held-out quarter; 0 without any.
+def nth(scores: DataFrame, k: int, score: str = "score") -> float:
+    """The k-th least score, from 0; there are more than k. Scores are counted in bins of the range that holds it, which
+    narrows until it is one score."""
+    lo, hi = (float(v) for v in scores.agg(F.min(score), F.max(score)).first())
+    while lo < hi:
+        inside = scores.filter(F.col(score).between(lo, hi))
+        bins = inside.groupBy(F.floor((F.col(score) - lo) / (hi - lo) * 4096).alias("b")).agg(F.count("*").alias("n"), F.min(score).alias("lo"), F.max(score).alias("hi"))
+        for r in sorted(bins.collect(), key=lambda r: r.b):
+            if k < r.n:
+                lo, hi = r.lo, r.hi
+                break
+            k -= r.n
+    return lo
+
+
+def least_score(docs: DataFrame, model: Model, key: str = "doc_id", lang: str = "lang", text: str = "text") -> float:
+    """The score from which on a text is recognised, by all documents of the held-out quarter; 0 without any.
 
     Machines decide between the languages they know, so the winner's score alone never is low; a text of another
     language stays well below the scores that right answers have on documents the machines have not seen.
     """
-    able = docs.filter(F.col(lang).isNotNull() & (crc_mod(F.col(key), 4) == 2))
-    some = least_hashed(able.select(F.col(key).alias("k")).distinct(), limit)
-    held = able.join(F.broadcast(some), F.col(key) == F.col("k"), "left_semi").select(F.col(lang).cast("string").alias("lang"), text)
-    right = predict(held, model, "lang", text).filter(F.col("lang") == F.col("lang_pred"))
-    return SHARE * (right.agg(F.percentile("score", F.lit(0.01))).first()[0] or 0.0)
+    held = docs.filter(F.col(lang).isNotNull() & (crc_mod(F.col(key), 4) == 2)).select(F.col(lang).cast("string").alias("lang"), text)
+    right = cut(predict(held, model, "lang", text).filter(F.col("lang") == F.col("lang_pred")).select("score"))
+    n = right.count()
+    if not n:
+        return 0.0
+    at = 0.01 * (n - 1)
+    low, high = nth(right, floor(at)), nth(right, ceil(at))
+    return SHARE * (low + (high - low) * (at - floor(at)))
 
 
 def sample(docs: DataFrame, key: str = "doc_id", lang: str = "lang", text: str = "text", limit: int = MAX_SAMPLE, each: int = EACH) -> DataFrame:

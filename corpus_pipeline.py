@@ -14,8 +14,8 @@ from cloakwork.llm.common import fresh_name, remove, shared_dir, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the machines, learnt from these documents, recognise; the others go."""
-    model = language.fit(language.sample(docs))
+    """Documents in a language that the machines, learnt from all of these documents, recognise; the others go."""
+    model = language.fit_all(docs)
     return language.keep_recognised(docs, model, least=language.least_score(docs, model))
 
 

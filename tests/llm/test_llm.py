@@ -492,6 +492,45 @@ def test_documents_in_unlearnt_languages_go(spark):
     assert len(unknown) > 40 and len(kept & unknown) < len(unknown) / 10
 
 
+def test_least_score_of_all_held_out_documents(spark):
+    """More than 2,000 held-out documents: the threshold is the percentile of all their right answers' scores."""
+    rng = random.Random(5)
+    w = np.append(np.random.default_rng(5).normal(0, 0.4, language.BUCKETS), 0.3)
+    model = language.Model({("", "a", "b"): w}, ["a", "b"])
+    rows = [(i, "".join(rng.choices("abcdefgh ", k=rng.randint(1, 9))), rng.choice(["a", "b", None])) for i in range(16_000)]
+    held = [(t, lang) for i, t, lang in rows if lang and zlib.crc32(str(i).encode()) % 4 == 2]
+    lang, score = model.predict([t for t, _ in held])
+    right = [s for p, s, (_, want) in zip(lang, score, held) if p == want]
+    assert len(held) > 2_400
+    got = language.least_score(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model)
+    assert got == pytest.approx(language.SHARE * np.percentile(right, 1), abs=1e-9)
+    some = spark.createDataFrame([(s,) for s in right], "score double")
+    assert [language.nth(some, k) for k in (0, 7, len(right) - 1)] == [sorted(right)[k] for k in (0, 7, len(right) - 1)]
+    assert language.least_score(spark.createDataFrame([], "doc_id long, text string, lang string"), model) == 0
+
+
+def test_machines_of_all_documents(spark):
+    """Every document outside the held-out quarter is in a group, those of a rare language in all; a machine is the mean
+    of the groups', and one group gives what fit gives."""
+    rng = random.Random(6)
+    abc = {"en": "abcdefgh ", "de": "efghijkl ", "fi": "xyzäö "}
+    rows = [(i, "".join(rng.choices(abc.get(x, "abc "), k=30)), x) for i, x in enumerate(["en"] * 300 + ["de"] * 300 + ["fi"] * 8 + [None] * 9)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learnt = [r for r in rows if r[2] and zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    in_groups = language.groups_of(table, size=100, each=10).collect()
+    n = -(-len(learnt) // 100)
+    fi = [t for _, t, x in learnt if x == "fi"]
+    assert {r.text for r in in_groups} == {t for _, t, _ in learnt} and {r.grp for r in in_groups} == set(range(n)) and n > 3
+    assert Counter(r.text for r in in_groups if r.lang == "fi") == {t: n for t in fi} and all(c == 1 for t, c in Counter(r.text for r in in_groups if r.lang != "fi").items())
+    got = language.fit_all(table, size=100, each=10)
+    one = [language.fit(spark.createDataFrame([(r.lang, r.text) for r in in_groups if r.grp == g], "lang string, text string")) for g in range(n)]
+    assert got.langs == ["de", "en", "fi"] and sorted(got.keys) == [("", "fi", "germanic"), ("germanic", "de", "en")]
+    for k, key in enumerate(got.keys):
+        assert np.allclose(got.w[:, k], np.mean([m.w[:, m.keys.index(key)] for m in one], axis=0), atol=1e-6)
+    whole, same = language.fit_all(table), language.fit(table.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2))
+    assert np.array_equal(whole.w, same.w[:, [same.keys.index(k) for k in whole.keys]])
+
+
 # --- 6 ---
 def brute_components(rows, words=4, most=4):
     fps = []
